@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from caseloom.functions.text import strip
 from caseloom.operators.quality import DataQualityError, assert_report_schema, missing_columns
+from caseloom.session import settle
 
 # The columns of a report file in file order.
 REPORT_SCHEMA = T.StructType([
@@ -60,10 +61,15 @@ def load_reports(spark: SparkSession, path: str, validate: bool = True, mode: st
 
 
 def audit_malformed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Read permissively and return (sound rows, damaged rows with their raw text)."""
+    """Read permissively and return (sound rows, damaged rows with their raw text).
+
+    The parsed rows are written once, sound and damaged apart: a scan that prunes columns
+    would not notice damage in the columns it skips.
+    """
     schema = _schema_in_file_order(csv_header(spark, path)).add(DAMAGED, T.StringType())
     df = spark.read.schema(schema).options(**CSV_OPTIONS).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", DAMAGED).csv(path)
-    return df.filter(F.col(DAMAGED).isNull()).drop(DAMAGED), df.filter(F.col(DAMAGED).isNotNull())
+    parsed = settle(df.withColumn("_damaged", F.col(DAMAGED).isNotNull()), "audited", ["_damaged"])
+    return parsed.filter("not _damaged").drop("_damaged", DAMAGED), parsed.filter("_damaged").drop("_damaged")
 
 
 def write_reports_csv(df: DataFrame, path: str) -> None:

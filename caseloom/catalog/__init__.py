@@ -3,6 +3,7 @@
 from caseloom.catalog import (  # noqa: F401
     data_queries,
     error_queries,
+    feature_queries,
     log_queries,
     text_queries,
 )

@@ -5,6 +5,7 @@ from caseloom.catalog import (  # noqa: F401
     error_queries,
     feature_queries,
     log_queries,
+    model_queries,
     text_queries,
 )
 from caseloom.catalog.base import ORACLES, QUERIES

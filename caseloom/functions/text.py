@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +26,15 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use the result several times in ``then``.
+
+    A Column repeated in an expression is evaluated at every place it stands; a lambda's
+    argument is not.
+    """
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip(text: ColumnOrName) -> Column:
     """Remove white space of any kind at both ends (``trim`` alone removes only blanks)."""
     return F.btrim(_col(text), F.lit(WHITESPACE))
@@ -36,17 +46,20 @@ def nfkc(text: ColumnOrName) -> Column:
     Spark ships ICU for its collations; calling its composer through
     ``java_method`` keeps the row in the JVM, with no Arrow round trip.
     """
-    text = _col(text)
-    composed = F.call_function(
-        "java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True)
-    )
-    return F.when(text.rlike(r"[^\x00-\x7F]"), composed).otherwise(text)
+    def compose(t: Column) -> Column:
+        composed = F.call_function(
+            "java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True)
+        )
+        return F.when(t.rlike(r"[^\x00-\x7F]"), composed).otherwise(t)
+
+    return _bind(_col(text), compose)
 
 
 def strip_codes(text: ColumnOrName) -> Column:
     """Replace transcription codes by a blank; rows without a ``*`` skip the pattern."""
-    text = _col(text)
-    return F.when(F.contains(text, F.lit("*")), F.regexp_replace(text, "(?U)" + CODES, " ")).otherwise(text)
+    return _bind(
+        _col(text), lambda t: F.when(F.contains(t, F.lit("*")), F.regexp_replace(t, "(?U)" + CODES, " ")).otherwise(t)
+    )
 
 
 def expand_contractions(text: ColumnOrName, lower_case: bool = False) -> Column:
@@ -55,15 +68,16 @@ def expand_contractions(text: ColumnOrName, lower_case: bool = False) -> Column:
     Rows without an apostrophe skip the rules. ``lower_case`` says the text is
     already lower case, which halves the number of patterns.
     """
-    text = _col(text)
-    plain = F.translate(text, "’", "'")
-    full = plain
-    for pattern, written in CONTRACTIONS:
-        if not lower_case:
-            full = F.regexp_replace(full, _shout(pattern), written.upper())
-            pattern = "(?i)" + pattern
-        full = F.regexp_replace(full, pattern, written)
-    return F.when(text.rlike("['’]"), full).otherwise(text)
+    def expand(t: Column) -> Column:
+        full = F.translate(t, "’", "'")
+        for pattern, written in CONTRACTIONS:
+            if not lower_case:
+                full = F.regexp_replace(full, _shout(pattern), written.upper())
+                pattern = "(?i)" + pattern
+            full = F.regexp_replace(full, pattern, written)
+        return F.when(t.rlike("['’]"), full).otherwise(t)
+
+    return _bind(_col(text), expand)
 
 
 def _shout(pattern: str) -> str:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseloom import config
 from caseloom.functions.records import confidence_band, leading_terms, ranked_labels, split_by_sign
@@ -21,7 +22,8 @@ from caseloom.operators.splits import seeded_sample
 
 MODEL_ROWS = 20_000_000  # a coefficient table is no larger than the model the driver holds
 
-EXPLANATION = "array<struct<term:string,contribution:double>>"
+EXPLANATION_TYPE = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("contribution", T.DoubleType())]))
+EXPLANATION = EXPLANATION_TYPE.simpleString()
 
 
 def clean_for_scoring(df: DataFrame, text: str, key: str, lemmas: DataFrame | None = None, out: str = config.CLEAN_TEXT) -> DataFrame:
@@ -45,31 +47,53 @@ def with_explanation(df: DataFrame, featurizer: PipelineModel, model: TrainedMod
     """Add ``explanation``: the ``top`` terms by signed contribution to the predicted label.
 
     Exploding and regrouping would shuffle every non-zero entry. The coefficients are
-    as large as the model, so they are broadcast and each row is explained where it is.
-    Models without coefficients give null.
+    as large as the model, so they are broadcast and each Arrow batch is explained where
+    it is. Models without coefficients give null. ``features`` is dropped.
     """
     try:
         coefs, _ = model.linear_parts()
     except TypeError:
-        none = F.lit(None)
-        return df.withColumn("explanation", none.cast(EXPLANATION)).withColumn("explanation_method", none.cast("string"))
-    shared = df.sparkSession.sparkContext.broadcast((coefs, np.array(feature_names(featurizer), dtype=object), {x: i for i, x in enumerate(model.labels)}))
-
-    @F.pandas_udf(EXPLANATION)
-    def explain(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        weights, terms, place = shared.value
-        for labels, indices, values in batches:
-            out = []
-            for name, idx, x in zip(labels, indices, values):
-                part = weights[place[name], idx] * x
-                names = terms[idx]
-                order = np.lexsort((names.astype(str), -part))[:top] if len(part) else []
-                out.append([{"term": names[i], "contribution": round(float(part[i]), 4)} for i in order])
-            yield pd.Series(out)
+        return without_explanation(df.drop("features"))
+    shared = df.sparkSession.sparkContext.broadcast((coefs, feature_names(featurizer), model.labels))
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, terms, labels = shared.value
+        terms = pa.array(terms)
+        place = {name: i for i, name in enumerate(labels)}
+        for batch in batches:
+            row_class = np.array([place[x] for x in batch.column("predicted_label").to_pylist()], dtype=np.int64)
+            yield _append_terms(batch, row_class, weights, terms, top)
 
     raw = F.unwrap_udt("features")
     indices = F.coalesce(raw["indices"], F.sequence(F.lit(0), F.size(raw["values"]) - 1))
-    return df.withColumn("explanation", explain("predicted_label", indices, raw["values"])).withColumn("explanation_method", F.lit("coefficient"))
+    flat = df.withColumn("_indices", indices).withColumn("_values", raw["values"]).drop("features")
+    kept = [f for f in flat.schema.fields if f.name not in ("_indices", "_values")]
+    schema = T.StructType([*kept, T.StructField("explanation", EXPLANATION_TYPE)])
+    return flat.mapInArrow(explain, schema).withColumn("explanation_method", F.lit("coefficient"))
+
+
+def without_explanation(df: DataFrame) -> DataFrame:
+    return df.withColumn("explanation", F.lit(None).cast(EXPLANATION)).withColumn("explanation_method", F.lit(None).cast("string"))
+
+
+def _append_terms(batch: pa.RecordBatch, row_class: np.ndarray, weights: np.ndarray, terms: pa.Array, top: int) -> pa.RecordBatch:
+    """Rank coefficient x value of all rows of a batch in one sort, ties by term."""
+    lists = batch.column("_indices")
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    idx = lists.flatten().to_numpy(zero_copy_only=False)
+    x = batch.column("_values").flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    part = weights[row_class[row], idx] * x
+    # Feature order is term order within a block, so the index breaks ties by term.
+    order = np.lexsort((idx, -part, row))
+    starts = np.cumsum(sizes) - sizes
+    best = order[(np.arange(len(order)) - starts[row[order]]) < top]
+    taken = np.minimum(sizes, top)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(taken)]).astype(np.int32))
+    pairs = pa.StructArray.from_arrays([terms.take(pa.array(idx[best])), pa.array(np.round(part[best], 4) + 0.0)], ["term", "contribution"])
+    names = [n for n in batch.schema.names if n not in ("_indices", "_values")]
+    columns = [batch.column(n) for n in names]
+    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pairs)], [*names, "explanation"])
 
 
 def score_records(
@@ -83,8 +107,8 @@ def score_records(
     if explain:
         ranked = with_explanation(ranked, featurizer, model)
     else:
-        ranked = ranked.withColumn("explanation", F.lit(None).cast(EXPLANATION)).withColumn("explanation_method", F.lit(None).cast("string"))
-    return ranked.withColumn("model_backend", F.lit(backend)).drop("features")
+        ranked = without_explanation(ranked.drop("features"))
+    return ranked.withColumn("model_backend", F.lit(backend))
 
 
 def compare_backends(a: DataFrame, b: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from caseloom.functions.words import WHITESPACE
 from caseloom.operators.cleaning import clean_reports
 from caseloom.operators.labels import engineer_labels
 from caseloom.operators.splits import stratified_split
-from caseloom.session import settle
+from caseloom.session import settle, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, spread for heavy work per row."""
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def reports(spark: SparkSession, sf: str) -> DataFrame:
     """The documents as reports: text, and a comma list with the language first."""
     d = table(spark, sf, "documents")

@@ -398,7 +398,7 @@ def labels_indexed(spark, sf):
 @query("tag_sets", f"WITH {REPORTS_SQL} SELECT odiNumber, array_to_string(list_sort({TAG_SET_SQL}), '|') AS tags, len({TAG_SET_SQL})::BIGINT AS n_tags FROM reports")
 def tag_sets(spark, sf):
     tags = records.tag_set("components")
-    return reports(spark, sf).select("odiNumber", F.array_join(F.array_sort(tags), "|").alias("tags"), F.size(tags).cast("long").alias("n_tags"))
+    return reports(spark, sf).select("odiNumber", F.array_join(F.sort_array(tags), "|").alias("tags"), F.size(tags).cast("long").alias("n_tags"))
 
 
 @query(

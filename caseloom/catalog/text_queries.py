@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseloom.catalog.base import REPORTS_SQL, query, reports, table
+from caseloom.catalog.base import REPORTS_SQL, documents, once, query, reports, table
 from caseloom.functions import records, text
 from caseloom.functions.words import CODES, CONTRACTIONS, NOUN_ENDINGS, STOPWORDS, STOPWORDS_KEEPING_NEGATION
 from caseloom.operators.lemma import apply_lemmas, lemma_table, token_counts
+from caseloom.session import spread
 
 # The given texts hold no codes or contractions, so both are added around each text.
 ADDED_HEAD, ADDED_TAIL = "TL* ", " it doesn't *TR they'll *EA WON'T stop, can't we're"
@@ -57,17 +58,17 @@ def light_sql(t: str) -> str:
 def text_nfkc(spark, sf):
     """Undo wide letters and separate accents put into every text."""
     wide = F.replace(F.translate("text", "aeouAEOU0123", "ａｅｏｕＡＥＯＵ０１２３"), F.lit("\u00e9"), F.lit("e\u0301"))
-    return table(spark, sf, "documents").select("doc_id", text.nfkc(wide).alias("text"))
+    return documents(spark, sf).select("doc_id", text.nfkc(wide).alias("text"))
 
 
 @query("text_strip_codes", f"SELECT doc_id, {strip_codes_sql(MARKED_SQL)} AS stripped FROM documents")
 def text_strip_codes(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.strip_codes(_marked()).alias("stripped"))
+    return documents(spark, sf).select("doc_id", text.strip_codes(_marked()).alias("stripped"))
 
 
 @query("text_expand_contractions", f"SELECT doc_id, {expand_sql(MARKED_SQL)} AS expanded FROM documents")
 def text_expand_contractions(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.expand_contractions(_marked()).alias("expanded"))
+    return documents(spark, sf).select("doc_id", text.expand_contractions(_marked()).alias("expanded"))
 
 
 @query("text_lower", "SELECT doc_id, lower(text) AS lowered FROM documents")
@@ -82,14 +83,14 @@ def text_lower(spark, sf):
 )
 def text_letters_only(spark, sf):
     low = F.lower("text")
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", text.letters_only(low).alias("letters"), text.letters_only(low, keep_digits=True).alias("letters_digits")
     )
 
 
 @query("text_collapse_spaces", f"SELECT doc_id, trim(regexp_replace(text, '{SPACES}', ' ', 'g'), ' ') AS spaced FROM documents")
 def text_collapse_spaces(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.collapse_spaces("text").alias("spaced"))
+    return documents(spark, sf).select("doc_id", text.collapse_spaces("text").alias("spaced"))
 
 
 @query(
@@ -99,22 +100,22 @@ def text_collapse_spaces(spark, sf):
 )
 def text_stopwords_removed(spark, sf):
     kept = text.remove_words(F.split(F.lower("text"), " "))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(kept, " ").alias("kept"), F.size(kept).cast("long").alias("n_kept"))
+    return documents(spark, sf).select("doc_id", F.array_join(kept, " ").alias("kept"), F.size(kept).cast("long").alias("n_kept"))
 
 
 @query("text_classical_clean", f"SELECT doc_id, array_to_string({tokens_sql(MARKED_SQL)}, ' ') AS clean FROM documents")
 def text_classical_clean(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.classical_clean(_marked()).alias("clean"))
+    return documents(spark, sf).select("doc_id", text.classical_clean(_marked()).alias("clean"))
 
 
 @query("text_classical_clean_digits", f"SELECT doc_id, array_to_string({tokens_sql('text', 'a-z0-9')}, ' ') AS clean FROM documents")
 def text_classical_clean_digits(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.classical_clean("text", keep_digits=True).alias("clean"))
+    return documents(spark, sf).select("doc_id", text.classical_clean("text", keep_digits=True).alias("clean"))
 
 
 @query("text_light_clean", f"SELECT doc_id, {light_sql(MARKED_SQL)} AS clean FROM documents")
 def text_light_clean(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.light_clean(_marked()).alias("clean"))
+    return documents(spark, sf).select("doc_id", text.light_clean(_marked()).alias("clean"))
 
 
 @query(
@@ -123,7 +124,7 @@ def text_light_clean(spark, sf):
     f"if w <> '' AND w NOT IN {words_sql(STOPWORDS)}], ' ') AS clean FROM documents",
 )
 def text_legacy_clean(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.legacy_clean(_marked()).alias("clean"))
+    return documents(spark, sf).select("doc_id", text.legacy_clean(_marked()).alias("clean"))
 
 
 CONTENT_SQL = (
@@ -134,7 +135,7 @@ CONTENT_SQL = (
 @query("text_content_words", f"SELECT doc_id, array_to_string({CONTENT_SQL}, ' ') AS words, len({CONTENT_SQL})::BIGINT AS n_words FROM documents")
 def text_content_words(spark, sf):
     words = text.content_words("text")
-    return table(spark, sf, "documents").select("doc_id", F.array_join(words, " ").alias("words"), F.size(words).cast("long").alias("n_words"))
+    return documents(spark, sf).select("doc_id", F.array_join(words, " ").alias("words"), F.size(words).cast("long").alias("n_words"))
 
 
 @query("text_upper", "SELECT s_suppkey, upper(s_name) AS make FROM supplier")
@@ -144,7 +145,7 @@ def text_upper(spark, sf):
 
 @query("text_preview", "SELECT doc_id, substr(text, 1, 200) AS preview FROM documents")
 def text_preview(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.preview("text").alias("preview"))
+    return documents(spark, sf).select("doc_id", text.preview("text").alias("preview"))
 
 
 @query("model_display_names", "SELECT doc_id, source AS display FROM documents")
@@ -174,9 +175,14 @@ lemmas AS (SELECT token, lemma FROM (
   FROM forms f JOIN counts c ON c.token = f.lemma WHERE f.lemma <> '') WHERE rn = 1)"""
 
 
+def _tokens(spark, sf):
+    """Normalised tokens of every report, written once for the lemma queries."""
+    return once(spark, sf, "tokens", lambda: spread(reports(spark, sf), "odiNumber").select("odiNumber", text.classical_tokens("summary").alias("tokens")))
+
+
 @query("lemma_table", f"WITH {LEMMA_SQL} SELECT token, lemma FROM lemmas")
 def lemmas_of_tokens(spark, sf):
-    return lemma_table(token_counts(reports(spark, sf), text.classical_tokens("summary")))
+    return lemma_table(token_counts(_tokens(spark, sf), "tokens"))
 
 
 @query(
@@ -187,7 +193,7 @@ def lemmas_of_tokens(spark, sf):
 )
 def text_lemmatised(spark, sf):
     """The full cleaner: normalised tokens, each replaced by its checked lemma."""
-    tokens = reports(spark, sf).select("odiNumber", text.classical_tokens("summary").alias("tokens"))
+    tokens = _tokens(spark, sf)
     done = apply_lemmas(tokens, "tokens", lemma_table(token_counts(tokens, "tokens")), "odiNumber")
     return done.select("odiNumber", F.array_join("tokens", " ").alias("clean"))
 
@@ -199,8 +205,9 @@ def text_lemmatised(spark, sf):
 )
 def text_lemmatised_by_join(spark, sf):
     """The way taken when the lemma table is too large to broadcast; here as lemma counts."""
-    tokens = reports(spark, sf).select("odiNumber", text.classical_tokens("summary").alias("tokens"))
-    done = apply_lemmas(tokens, "tokens", lemma_table(token_counts(tokens, "tokens")), "odiNumber", max_rows=0)
+    tokens = _tokens(spark, sf)
+    lemmas = lemma_table(token_counts(tokens, "tokens"))
+    done = apply_lemmas(tokens, "tokens", lemmas, "odiNumber", max_rows=0)
     return token_counts(done, "tokens").withColumnRenamed("token", "lemma")
 
 

@@ -41,7 +41,7 @@ def ranked_labels(probabilities: Column | str, labels: Column, k: int | None = T
     pairs = F.zip_with(
         labels, probabilities, lambda name, p: F.struct((-p).alias("down"), name.alias("label"))
     )
-    best = F.array_sort(pairs)
+    best = F.sort_array(pairs)
     if k is not None:
         best = F.slice(best, 1, k)
     shown = (lambda v: F.round(v, digits)) if digits is not None else (lambda v: v)
@@ -70,7 +70,7 @@ def split_by_sign(explanation: Column | str) -> tuple[Column, Column]:
     """Supporting and opposing terms, each in ascending order of contribution."""
     explanation = F.col(explanation) if isinstance(explanation, str) else explanation
     ordered = F.transform(
-        F.array_sort(F.transform(explanation, lambda e: F.struct(e["contribution"].alias("contribution"), e["term"].alias("term")))),
+        F.sort_array(F.transform(explanation, lambda e: F.struct(e["contribution"].alias("contribution"), e["term"].alias("term")))),
         lambda e: F.struct(e["term"].alias("term"), e["contribution"].alias("contribution")),
     )
     return (

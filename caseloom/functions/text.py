@@ -19,7 +19,8 @@ from caseloom.functions.words import (
 
 ColumnOrName = Column | str
 
-_SPACE_CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE)
+# The white-space set as a character class that Java and RE2 read alike.
+_SPACE_CLASS = r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
 def _col(c: ColumnOrName) -> Column:
@@ -65,17 +66,23 @@ def strip_codes(text: ColumnOrName) -> Column:
 def expand_contractions(text: ColumnOrName, lower_case: bool = False) -> Column:
     """Write contractions out in full, keeping negation as the word "not".
 
-    Rows without an apostrophe skip the rules. ``lower_case`` says the text is
-    already lower case, which halves the number of patterns.
+    Rows without an apostrophe are left alone; in the others only the words holding one
+    meet the patterns. ``lower_case`` says the text is already lower case, which halves
+    the number of patterns.
     """
-    def expand(t: Column) -> Column:
-        full = F.translate(t, "’", "'")
+
+    def expand_word(word: Column) -> Column:
         for pattern, written in CONTRACTIONS:
             if not lower_case:
-                full = F.regexp_replace(full, _shout(pattern), written.upper())
+                word = F.regexp_replace(word, _shout(pattern), written.upper())
                 pattern = "(?i)" + pattern
-            full = F.regexp_replace(full, pattern, written)
-        return F.when(t.rlike("['’]"), full).otherwise(t)
+            word = F.regexp_replace(word, pattern, written)
+        return word
+
+    def expand(t: Column) -> Column:
+        words = F.split(F.translate(t, "’", "'"), " ")
+        written_out = F.transform(words, lambda w: F.when(F.contains(w, F.lit("'")), expand_word(w)).otherwise(w))
+        return F.when(t.rlike("['’]"), F.array_join(written_out, " ")).otherwise(t)
 
     return _bind(_col(text), expand)
 

@@ -56,7 +56,7 @@ def gram_counts(df: DataFrame, grams: str) -> DataFrame:
     Sorting each row's grams puts repeats side by side, so "first in its row" is a
     comparison with the neighbour and no (row, term) pairs have to be shuffled.
     """
-    ordered = df.select(F.array_sort(grams).alias("_g"))
+    ordered = df.select(F.sort_array(grams).alias("_g"))
     marked = F.transform("_g", lambda g, i: F.struct(
         g.alias("term"), F.when((i > 0) & (F.get("_g", i - 1) == g), 0).otherwise(1).alias("first")
     ))

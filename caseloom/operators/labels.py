@@ -67,7 +67,7 @@ def label_space(df: DataFrame, label: str = config.LABEL) -> DataFrame:
 
     The numbering is one sort of the label table, which has a row per class.
     """
-    names = label_counts(df, label).agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    names = label_counts(df, label).agg(F.sort_array(F.collect_list("label")).alias("labels"))
     return names.select(F.posexplode("labels").alias("idx", "label")).select("label", F.col("idx").cast("long").alias("idx"))
 
 

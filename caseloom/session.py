@@ -58,3 +58,17 @@ def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give heavy per-row work at least a task per core.
+
+    A table in a few files of one row group each is read by as many tasks, however many
+    splits are planned; such input is repartitioned on its key. Input with more files than
+    cores is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    planned = df.rdd.getNumPartitions()
+    if planned >= 4 * cores or (planned >= cores and len(df.inputFiles()) >= cores):
+        return df
+    return df.repartition(cores, key)

@@ -157,6 +157,6 @@ def log_metrics(log: DataFrame, label: str = "predicted_label", latency: str = "
     return per_class.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_predictions"),
         F.round(F.try_divide(F.sum("ms"), F.sum("timed")), 3).alias("avg_latency_ms"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(label, "n")))).alias("class_distribution"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(label, "n")))).alias("class_distribution"),
         F.round(seconds / 1e6, 1).alias("span_seconds"),
     )

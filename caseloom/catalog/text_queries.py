@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from caseloom.catalog.base import REPORTS_SQL, documents, once, query, reports, table
 from caseloom.functions import records, text
-from caseloom.functions.words import CODES, CONTRACTIONS, NOUN_ENDINGS, STOPWORDS, STOPWORDS_KEEPING_NEGATION
+from caseloom.functions.words import CODES, CONTRACTIONS, NOUN_ENDINGS, STOPWORDS, STOPWORDS_KEEPING_NEGATION, WHITESPACE
 from caseloom.operators.lemma import apply_lemmas, lemma_table, token_counts
 from caseloom.session import spread
 
@@ -47,7 +47,8 @@ def tokens_sql(t: str, keep: str = "a-z") -> str:
     return f"[w for w in {parts} if w <> '' AND w NOT IN {words_sql(STOPWORDS_KEEPING_NEGATION)}]"
 
 
-SPACES = f"[{text._SPACE_CLASS}]+"
+SPACE_CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE)
+SPACES = f"[{SPACE_CLASS}]+"
 
 
 def light_sql(t: str) -> str:
@@ -78,8 +79,8 @@ def text_lower(spark, sf):
 
 @query(
     "text_letters_only",
-    f"SELECT doc_id, regexp_replace(lower(text), '[^a-z{text._SPACE_CLASS}]', ' ', 'g') AS letters, "
-    f"regexp_replace(lower(text), '[^a-z0-9{text._SPACE_CLASS}]', ' ', 'g') AS letters_digits FROM documents",
+    f"SELECT doc_id, regexp_replace(lower(text), '[^a-z{SPACE_CLASS}]', ' ', 'g') AS letters, "
+    f"regexp_replace(lower(text), '[^a-z0-9{SPACE_CLASS}]', ' ', 'g') AS letters_digits FROM documents",
 )
 def text_letters_only(spark, sf):
     low = F.lower("text")
@@ -120,7 +121,7 @@ def text_light_clean(spark, sf):
 
 @query(
     "text_legacy_clean",
-    f"SELECT doc_id, array_to_string([w for w in string_split_regex(regexp_replace(lower({MARKED_SQL}), '[^a-z{text._SPACE_CLASS}]', '', 'g'), '{SPACES}') "
+    f"SELECT doc_id, array_to_string([w for w in string_split_regex(regexp_replace(lower({MARKED_SQL}), '[^a-z{SPACE_CLASS}]', '', 'g'), '{SPACES}') "
     f"if w <> '' AND w NOT IN {words_sql(STOPWORDS)}], ' ') AS clean FROM documents",
 )
 def text_legacy_clean(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom import config
-from caseloom.functions.text import strip
+from caseloom.functions.text import strip, text_identity
 
 
 def keep_usable(df: DataFrame, text: str = config.TEXT, tags: str = config.TAGS, min_chars: int = config.MIN_TEXT_CHARS) -> DataFrame:
@@ -40,7 +40,10 @@ def clean_reports(
 def cleaning_counts(
     df: DataFrame, text: str = config.TEXT, tags: str = config.TAGS, min_chars: int = config.MIN_TEXT_CHARS
 ) -> DataFrame:
-    """One row: rows read, dropped by each rule in order, repeats dropped, rows kept."""
+    """One row: rows read, dropped by each rule in order, repeats dropped, rows kept.
+
+    Texts are grouped by identity, with repeats combined before the shuffle.
+    """
     short = F.length(strip(text)) < min_chars
     fate = (
         F.when(F.col(text).isNull(), "null_text")
@@ -49,10 +52,7 @@ def cleaning_counts(
         .otherwise("usable")
     )
     usable = fate == "usable"
-    # Unusable rows need no text to be counted; they group under their fate alone.
-    grouped = df.groupBy(
-        fate.alias("fate"), F.when(usable, F.xxhash64(text)).alias("_h"), F.when(usable, F.col(text)).alias("_t")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    grouped = df.groupBy(fate.alias("fate"), F.when(usable, text_identity(text)).alias("_id")).agg(F.count(F.lit(1)).alias("n"))
 
     def total(value: Column) -> Column:
         return F.coalesce(F.sum(value), F.lit(0)).cast("long")
@@ -65,15 +65,11 @@ def cleaning_counts(
         dropped("null_text").alias("null_text"),
         dropped("short_text").alias("short_text"),
         dropped("null_tags").alias("null_tags"),
-        total(F.when(usable_fate(), F.col("n") - 1)).alias("repeats"),
-        total(F.when(usable_fate(), F.lit(1))).alias("kept"),
+        total(F.when(F.col("fate") == "usable", F.col("n") - 1)).alias("repeats"),
+        total(F.when(F.col("fate") == "usable", F.lit(1))).alias("kept"),
     )
 
 
-def usable_fate() -> Column:
-    return F.col("fate") == "usable"
-
-
 def filed_until(df: DataFrame, date: str = config.FILED, year: int = config.TIME_TRAIN_MAX_YEAR) -> DataFrame:
     return df.filter(F.year(date) <= year)
 

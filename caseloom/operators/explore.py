@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import content_words
+from caseloom.operators.labels import label_counts
 
 
 def distinct_count(df: DataFrame, column: str) -> DataFrame:
@@ -14,15 +15,13 @@ def distinct_count(df: DataFrame, column: str) -> DataFrame:
 
 def value_counts(df: DataFrame, value: str | Column, n: int | None = None) -> DataFrame:
     """``(value, n)``, most frequent first, ties by value; nulls are not counted."""
-    value = F.col(value) if isinstance(value, str) else value
-    counts = df.select(value.alias("value")).filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    ordered = counts.orderBy(F.desc("n"), "value")
+    ordered = label_counts(df, value).select(F.col("label").alias("value"), "n").orderBy(F.desc("n"), "value")
     return ordered if n is None else ordered.limit(n)
 
 
 def extreme_classes(df: DataFrame, label: str) -> DataFrame:
     """One row: most and least frequent label with their sizes; ties go to the first name."""
-    counts = value_counts(df, label)
+    counts = label_counts(df, label).withColumnRenamed("label", "value")
     return counts.agg(
         F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("most_frequent"),
         F.max("n").alias("most_rows"),

@@ -71,16 +71,18 @@ def char_gram_counts(df: DataFrame, text: str, low: int, high: int) -> DataFrame
     Occurrences come from distinct words times their counts; only the row counts need the
     grams of every row, and those are taken from its distinct words.
     """
-    words = df.select(F.expr(padded_tokens_sql(text)).alias("_p"))
-    counts = words.select(F.explode("_p").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    padded = F.expr(padded_tokens_sql(text))
+    counts = df.select(F.explode(padded).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     tf = (
         counts.select(F.array("word").alias("_p"), "n")
         .select(F.explode(F.expr(char_grams_sql("_p", low, high))).alias("term"), "n")
         .groupBy("term").agg(F.sum("n").alias("tf"))
     )
-    per_row = words.select(F.array_distinct("_p").alias("_p"))
-    grams = per_row.select(F.array_distinct(F.expr(char_grams_sql("_p", low, high))).alias("_g"))
-    rows = grams.select(F.explode("_g").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Exploding the expression itself, not a column made of it: for a column Spark infers a
+    # filter on its size and pushes it down, which would build all grams twice.
+    grams = F.array_distinct(F.expr(char_grams_sql("_p", low, high)))
+    per_row = df.select(F.array_distinct(padded).alias("_p")).select(F.explode(grams).alias("term"))
+    rows = per_row.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return tf.join(rows, "term")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from caseloom import config
 from caseloom.functions.records import reject_reason, tag_set
-from caseloom.functions.text import content_words, strip
+from caseloom.functions.text import content_words, strip, text_identity
 from caseloom.functions.words import CODES
 from caseloom.operators.lookup import lookup
 
@@ -167,27 +167,28 @@ def column_info(df: DataFrame) -> DataFrame:
 def cleaning_audit(df: DataFrame, text: str = config.TEXT, tags: str = config.TAGS, vin: str | None = None) -> DataFrame:
     """One row: null and short texts, missing vin share, repeated rows, texts with several labels.
 
-    Grouping is on (hash, text, tags); repeats are combined map-side, so one text that
-    fills a third of the table leaves each map task as a single row.
+    Texts are grouped by identity, so none is shuffled; repeats are combined map-side, so
+    one text that fills a third of the table leaves each map task as a single row.
     """
-    short = F.length(strip(text)) < config.MIN_TEXT_CHARS
+    short = F.coalesce(F.length(strip(text)) < config.MIN_TEXT_CHARS, F.lit(False))
     absent = F.col(vin).isNull() if vin else F.lit(None).cast("boolean")
-    per_pair = df.groupBy(F.xxhash64(text).alias("_h"), text, tags).agg(
+    known = F.col("_id").isNotNull()
+    per_pair = df.groupBy(F.when(F.col(text).isNotNull(), text_identity(text)).alias("_id"), short.alias("_short"), tags).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(absent).alias("no_vin")
     )
-    per_text = per_pair.groupBy("_h", text).agg(
+    per_text = per_pair.groupBy("_id", "_short").agg(
         F.sum("n").alias("n"),
         F.sum("no_vin").alias("no_vin"),
-        F.sum(F.when(F.col(text).isNotNull() & F.col(tags).isNotNull(), F.col("n") - 1).otherwise(0)).alias("repeats"),
+        F.sum(F.when(known & F.col(tags).isNotNull(), F.col("n") - 1).otherwise(0)).alias("repeats"),
         F.count(F.col(tags)).alias("labels"),
     )
     return per_text.agg(
         F.sum("n").alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col(text).isNull(), F.col("n"))), F.lit(0)).alias("null_texts"),
-        F.coalesce(F.sum(F.when(short, F.col("n"))), F.lit(0)).alias("short_texts"),
+        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("null_texts"),
+        F.coalesce(F.sum(F.when(F.col("_short"), F.col("n"))), F.lit(0)).alias("short_texts"),
         (F.sum("no_vin") / F.sum("n")).alias("missing_vin_share"),
         F.coalesce(F.sum("repeats"), F.lit(0)).alias("repeated_pairs"),
-        F.count_if(F.col(text).isNotNull() & (F.col("labels") > 1)).alias("texts_with_several_labels"),
+        F.count_if(known & (F.col("labels") > 1)).alias("texts_with_several_labels"),
     )
 
 

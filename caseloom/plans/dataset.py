@@ -35,13 +35,15 @@ def run_dataset_build(
     max_year: int = config.TIME_TRAIN_MAX_YEAR,
     seed: int = config.SEED,
     lemmas: bool = True,
+    lemma_min_count: int = 1,
 ) -> Dataset:
     """Clean, label, normalise, split, check, write.
 
     The whole texts are shuffled once, for deduplication, after the row filters and before
     any text work. The result is written; every later step reads a few columns of it or
     works row by row: label and lemma tables are small and broadcast, splits compare a row
-    with the cut values of its class.
+    with the cut values of its class. ``lemma_min_count`` is how often a form must occur to
+    count as known, which keeps misspellings of a very large corpus out of the lemma table.
     """
     cleaned = clean_reports(reports).withColumn("_tokens", classical_tokens(config.TEXT))
     base = settle(cleaned, "cleaned")
@@ -51,7 +53,7 @@ def run_dataset_build(
     labelled, _ = engineer_labels(base, kept)
     assert_splittable(labelled)
     if lemmas:
-        lemma_table(token_counts(base, "_tokens")).write.mode("overwrite").parquet(f"{out}/lemmas")
+        lemma_table(token_counts(base, "_tokens"), min_count=lemma_min_count).write.mode("overwrite").parquet(f"{out}/lemmas")
         table = base.sparkSession.read.parquet(f"{out}/lemmas")
         labelled = apply_lemmas(labelled, "_tokens", table, config.KEY)
     done = time_split(stratified_split(labelled, seed=seed), max_year=max_year)

@@ -258,7 +258,7 @@ def numeric_summary(spark, sf):
 
 @query(
     "column_info",
-    "SELECT unnest([0, 1, 2, 3, 4]) AS position, unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS column_name, "
+    "SELECT unnest([0, 1, 2, 3, 4]::BIGINT[]) AS position, unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS column_name, "
     "unnest(['bigint', 'string', 'string', 'string', 'bigint']) AS type, unnest([count(doc_id), count(text), count(lang), count(source), count(n_chars)]) AS n_present FROM documents",
 )
 def column_info(spark, sf):

@@ -125,7 +125,8 @@ def pair_examples(spark, sf):
 
 @query("examples_of_every_pair", f'WITH {PREDICTED_SQL} SELECT odiNumber, "true", pred, rank FROM (SELECT *, row_number() OVER (PARTITION BY "true", pred ORDER BY odiNumber) AS rank FROM predicted WHERE "true" <> pred) WHERE rank <= 5')
 def examples_of_every_pair(spark, sf):
-    return errors.examples_of_every_pair(predictions(spark, sf), "odiNumber").select("odiNumber", "true", "pred", "rank")
+    found = errors.examples_of_every_pair(predictions(spark, sf), "odiNumber")
+    return found.select("odiNumber", "true", "pred", F.col("rank").cast("long").alias("rank"))
 
 
 @query("false_negatives", f"WITH {PREDICTED_SQL} SELECT odiNumber, pred FROM predicted WHERE \"true\" = 'FR' AND pred <> 'FR' ORDER BY odiNumber LIMIT 10")

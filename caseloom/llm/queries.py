@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import bpe, classifier, decontaminate, quality, token_counts, urls
+from caseloom.llm import bpe, classifier, debruijn, decontaminate, quality, simhash, suffixes, token_counts, urls, warc
 from caseloom.llm.base import read
 
 QUERIES: dict = {}
@@ -20,6 +20,11 @@ def query(name: str):
     return keep
 
 
+@query("op1_simhash")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf, "documents"), keep=["doc_id"])
+
+
 @query("op2_token_counts")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     scores = token_counts.rank_scores(f"{TOKENIZERS}/piece_bpe_32k.model")
@@ -31,6 +36,22 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(read(spark, sf, "documents"), keep=["doc_id"])
 
 
+@query("op4_warc")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archive_pages(read(spark, sf, "pages")).select(*columns)
+
+
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.remove_repeated_bytes(read(spark, sf, "documents"), keep=["doc_id"])
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return debruijn.remove_repeated_words(read(spark, sf, "documents"), keep=["doc_id"])
+
+
 @query("op7_benchmark_decontamination")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.decontaminate(read(spark, sf, "documents"), read(spark, sf, "benchmark"), keep=["doc_id"])

@@ -49,6 +49,15 @@ def as_bytes(name: str) -> Column:
     return column(name).cast("binary")
 
 
+def numbered(names: list[str]) -> list[Column]:
+    """The named columns as k0, k1, ..., so that working columns can't clash with them; ``named`` undoes that."""
+    return [column(c).alias(f"k{i}") for i, c in enumerate(names)]
+
+
+def named(names: list[str]) -> list[Column]:
+    return [F.col(f"k{i}").alias(c) for i, c in enumerate(names)]
+
+
 def fields_of(ddl: str) -> list[T.StructField]:
     return T.StructType.fromDDL(ddl).fields
 
@@ -68,9 +77,10 @@ def add_columns(
     new = fields_of(ddl)
     names = {f.name.lower() for f in new}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
-    source = df.select(*map(column, kept), *[c.alias(f"_in_{i}") for i, c in enumerate(inputs)])
+    source = df.select(*map(column, kept), *inputs)
     types = [arrow_type(f.dataType) for f in new]
-    out = T.StructType([source.schema[c] for c in kept] + new)
+    out = T.StructType(source.schema.fields[: len(kept)] + new)
+    source = source.toDF(*[f"c{i}" for i in range(len(source.columns))])  # inputs may have the names of kept columns
     n_kept = len(kept)
 
     def run(batches):

@@ -116,7 +116,7 @@ def remove_repeated_words(
     A word goes if it lies in ``window`` consecutive words of its document that also start anywhere else, in the same
     document included; windows are judged on the input. Words stand between U+0020 and U+0009-U+000D. Null and empty
     texts have no words; shorter texts have no windows. Rows that repeat an id and text repeat each other's windows like
-    any two rows. Columns of these names are replaced; working columns start with ``_``.
+    any two rows. Columns of these names are replaced.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("n_words", "n_removed", "kept_sha256", "kept_text")]
     rows = keyed(df, doc_id, text, kept)

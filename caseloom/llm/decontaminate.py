@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.base import add_columns, as_bytes, column
+from caseloom.llm.base import add_columns, as_bytes, column, named, numbered
 
 BLOCK_WORDS = 500_000  # bound of one broadcast automaton
 # Letters and digits of ASCII and all other characters stay; A-Z is lowered; the rest separates words.
@@ -163,7 +163,7 @@ def blocks_of(items: DataFrame, window: int, item_id: str, text: str, block_word
         yield block
 
 
-def _match_block(df: DataFrame, block: list, window: int, text: str) -> DataFrame:
+def _match_block(df: DataFrame, block: list, window: int) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(block)
 
     def make():
@@ -180,7 +180,7 @@ def _match_block(df: DataFrame, block: list, window: int, text: str) -> DataFram
 
         return compute
 
-    return add_columns(df, [as_bytes(text), F.col("_spans"), F.col("_items")], "_spans array<int>, _items array<string>", make)
+    return add_columns(df, [F.col("text"), F.col("spans"), F.col("items")], "spans array<int>, items array<string>", make)
 
 
 def decontaminate(
@@ -202,13 +202,15 @@ def decontaminate(
     ``remove``, maximal hit spans longer than ``max_length`` words leave the text if they cover more than
     ``max_coverage`` of the document's words; the rest of the text stays as it is, with one space for each span.
     Null and empty texts have no words, items without words have no windows, a null item id counts as the id "null",
-    repeated items count once. Columns of the result's names are replaced. Working columns start with ``_``.
+    repeated items count once. Columns of the result's names are replaced.
     """
-    kept = docs.columns if keep is None else keep
-    start = docs.withColumns({"_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
-    start = start.select(*map(column, dict.fromkeys([*kept, text])), "_spans", "_items")
+    new = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new and not (remove and c == text)]
+    start = docs.select(
+        *numbered(kept), as_bytes(text).alias("text"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items")
+    )
     for block in blocks_of(items, window, item_id, item_text, block_words):
-        start = _match_block(start, block, window, text)
+        start = _match_block(start, block, window)
 
     def make():
         def compute(texts, spans, names):
@@ -230,10 +232,9 @@ def decontaminate(
 
         return compute
 
-    ddl = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + f", `{text}` string" * remove
-    out = add_columns(start, [as_bytes(text), F.col("_spans"), F.col("_items")], ddl, make, [c for c in start.columns if not c.startswith("_")])
-    order = [c for c in kept if c in out.columns]
-    return out.select(*map(column, order), *[c for c in out.columns if c not in order and c != text])
+    ddl = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", new_text string" * remove
+    out = add_columns(start, [F.col("text"), F.col("spans"), F.col("items")], ddl, make, [f"k{i}" for i in range(len(kept))])
+    return out.select(*named(kept), *[F.col("new_text").alias(text)] * remove, *new)
 
 
 def without_words(data: bytes, spans: list[tuple[int, int]]) -> bytes:

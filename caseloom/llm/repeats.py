@@ -16,16 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.base import add_columns, arrow_type, as_bytes, column, fields_of, settle
+from caseloom.llm.base import add_columns, arrow_type, as_bytes, column, fields_of, named, numbered, settle
 from caseloom.llm.fragments import batches_of, fragments
 
 KEYS = ["_doc", "_txt"]  # a row is named by hashes of its id and of its text
 
 
 def keyed(df: DataFrame, doc_id: str, text: str, keep: list[str]) -> DataFrame:
-    """The kept columns, the text's bytes and the row's key. Rows that repeat id and text share a key and a result."""
+    """The kept columns by number, the text's bytes and the row's key. Rows that repeat id and text share a key and a result."""
     return df.select(
-        *map(column, keep), F.coalesce(as_bytes(text), F.lit(b"")).alias("_bytes"),
+        *numbered(keep), F.coalesce(as_bytes(text), F.lit(b"")).alias("_bytes"),
         F.xxhash64(column(doc_id)).alias("_doc"), F.xxhash64(column(text)).alias("_txt"),
     )
 
@@ -100,9 +100,10 @@ def repeated_spans(rows: DataFrame, sequence_of, length: int, k: int, search: Ca
 
 
 def with_spans(rows: DataFrame, spans: DataFrame, ddl: str, make, keep: list[str]) -> DataFrame:
-    """``rows`` with columns computed from bytes and merged spans (an array of bounds; null for none)."""
+    """The kept columns, by name, with columns computed from bytes and spans (an array of bounds; null for none)."""
     joined = rows.join(spans, KEYS, "left")
-    return add_columns(joined, [F.col("_bytes"), F.col("spans")], ddl, make, keep)
+    out = add_columns(joined, [F.col("_bytes"), F.col("spans")], ddl, make, [f"k{i}" for i in range(len(keep))])
+    return out.select(*named(keep), *[f.name for f in fields_of(ddl)])
 
 
 def merged(flat) -> np.ndarray:

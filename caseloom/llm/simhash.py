@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.base import add_columns, as_bytes, column, settle
+from caseloom.llm.base import add_columns, as_bytes, column, named, numbered, settle
 from caseloom.llm.links import connected_components
 
 BITS = 64
@@ -270,13 +270,14 @@ def near_duplicates(
     names are replaced.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("fingerprint", "component_id")]
-    prints = settle(with_fingerprints(df.select(*map(column, dict.fromkeys([*kept, doc_id, text]))), text, shingle, list(dict.fromkeys([*kept, doc_id]))), "fingerprints")
+    rows = df.select(*numbered(kept), column(doc_id).cast("long").alias("id"), as_bytes(text).alias("text"))
+    prints = settle(with_fingerprints(rows, "text", shingle, [*(f"k{i}" for i in range(len(kept))), "id"]), "fingerprints")
     stand_in = F.lit(NO_ID) + F.shiftrightunsigned("_fp", 2)  # classes without an id that share it are linked anyway
-    classes = settle(prints.groupBy("_fp").agg(F.min(column(doc_id).cast("long")).alias("rep")).select("_fp", F.coalesce("rep", stand_in).alias("rep")), "classes")
+    classes = settle(prints.groupBy("_fp").agg(F.min("id").alias("rep")).select("_fp", F.coalesce("rep", stand_in).alias("rep")), "classes")
     n = classes.count()
     if n > 1:
         sigs = settle(signatures(classes, plan_probes(classes, n, tau)), "signatures")
         roots = connected_components(links_of(sigs, tau, block))
         classes = classes.join(roots, classes["rep"] == roots["node"], "left").select("_fp", F.coalesce("root", "rep").alias("rep"))
-    named = classes.select("_fp", F.when(F.col("rep") < NO_ID, F.col("rep")).alias("component_id"))
-    return prints.join(named, "_fp").select(*map(column, kept), "fingerprint", "component_id")
+    ids = classes.select("_fp", F.when(F.col("rep") < NO_ID, F.col("rep")).alias("component_id"))
+    return prints.join(ids, "_fp").select(*named(kept), "fingerprint", "component_id")

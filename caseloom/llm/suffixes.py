@@ -94,7 +94,7 @@ def remove_repeated_bytes(
     A byte of the UTF-8 text goes if it lies in ``length`` consecutive bytes of its document that also start anywhere
     else, in the same document included; strings are judged on the input. Spans are the maximal removed runs. Null and
     empty texts have no bytes, shorter texts no strings. Rows that repeat an id and text repeat each other's strings
-    like any two rows. Columns of these names are replaced; working columns start with ``_``.
+    like any two rows. Columns of these names are replaced.
     """
     new = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from caseloom.llm import bpe, classifier, debruijn, decontaminate, quality, simhash, suffixes, token_counts, urls, warc
 from caseloom.llm.base import read
+from caseloom.llm.sql import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 TOKENIZERS = "/opt/tokenizers"
 
 

@@ -21,7 +21,7 @@ from caseloom.llm.base import add_columns, as_bytes, column
 BUCKETS = 1 << 15  # of hashed words
 RANK = 8
 MAX_TRAIN_ROWS = 6_000  # bound of the labelled rows the machine is fitted on
-EPOCHS = 8
+EPOCHS = 20
 BATCH = 256
 CAPITALS = re.compile(rb"[A-Z]")
 SYMBOL = re.compile(rb"[#*$%&|<>]")

@@ -28,6 +28,7 @@ from caseloom.catalog.base import (
 )
 from caseloom.functions import records
 from caseloom.operators import cleaning, labels, quality, splits
+from caseloom.operators.quality import REQUIRED_COLUMNS
 from caseloom.session import work_path
 from caseloom.sources import reports as report_files
 from caseloom.sources import tables
@@ -73,6 +74,16 @@ def csv_typed_scan(spark, sf):
     return report_files.load_reports(spark, path)
 
 
+@query("csv_mixed_headers", TYPED_SQL)
+def csv_mixed_headers(spark, sf):
+    """Files with columns in different orders in one folder, each read by its own header."""
+    path = work_path(spark, "mixed-csv")
+    typed = _typed(spark, sf)
+    for k, names in enumerate((typed.columns, typed.columns[::-1], sorted(typed.columns))):
+        report_files.write_reports_csv(typed.filter(F.col("odiNumber") % 3 == k).select(*names), f"{path}/part{k}")
+    return report_files.load_reports(spark, f"{path}/*/*.csv").select(*typed.columns)
+
+
 @query(
     "csv_malformed_audit",
     "SELECT CASE WHEN doc_id % 9 = 0 OR doc_id % 13 = 0 THEN 'damaged' ELSE 'sound' END AS state, count(*) AS n, "
@@ -237,11 +248,11 @@ def row_agreement(spark, sf):
 
 @query(
     "null_counts",
-    "SELECT unnest(['odiNumber', 'fire', 'numberOfDeaths', 'vin', 'modelYear']) AS column_name, "
-    f"unnest([count(*) - count(\"odiNumber\"), count(*) - count(fire), count(*) - count(\"numberOfDeaths\"), count(*) - count(vin), count(*) - count(\"modelYear\")]) AS n_null FROM ({TYPED_SQL})",
+    f"SELECT unnest([{', '.join(repr(c) for c in REQUIRED_COLUMNS)}]) AS column_name, "
+    f"unnest([{', '.join(f'count(*) - count({chr(34)}{c}{chr(34)})' for c in REQUIRED_COLUMNS)}]) AS n_null FROM ({TYPED_SQL})",
 )
 def null_counts(spark, sf):
-    return quality.null_counts(_typed(spark, sf).select("odiNumber", "fire", "numberOfDeaths", "vin", "modelYear"))
+    return quality.null_counts(_typed(spark, sf))
 
 
 def _summary_sql(names) -> str:

@@ -47,12 +47,12 @@ def assert_report_schema(df: DataFrame, header: list[str] | None = None, key: st
     """
     missing = missing_columns(header if header is not None else df.columns)
     if missing:
-        raise DataQualityError(f"report table is missing required columns: {missing}")
+        raise DataQualityError(f"a report table must also have the columns {missing}")
     if df.isEmpty():
-        raise DataQualityError("report table was loaded with zero rows")
+        raise DataQualityError("there are no reports to work on")
     surplus = surplus_rows(df, key).first()["surplus"]
     if surplus:
-        raise DataQualityError(f"{key} must be a unique primary key, found {surplus} duplicates")
+        raise DataQualityError(f"{surplus} rows repeat a value of {key}, which has to name one row")
 
 
 def gate_report(df: DataFrame, key: str = config.KEY, required: tuple[str, ...] = REQUIRED_COLUMNS) -> DataFrame:
@@ -66,12 +66,14 @@ def gate_report(df: DataFrame, key: str = config.KEY, required: tuple[str, ...]
     return totals.unpivot([], ["missing columns", "zero rows", "surplus keys"], "check", "violations")
 
 
-def route_scoring_input(df: DataFrame, text: str = config.TEXT) -> tuple[DataFrame, DataFrame]:
+def route_scoring_input(
+    df: DataFrame, text: str = config.TEXT, low: int = config.SCORE_MIN_CHARS, high: int = config.SCORE_MAX_CHARS
+) -> tuple[DataFrame, DataFrame]:
     """Split into rows to score, text stripped, and rejects with a ``reject_reason``.
 
     One bad row is set aside; it does not fail the rest of the batch.
     """
-    marked = df.withColumn("reject_reason", reject_reason(text))
+    marked = df.withColumn("reject_reason", reject_reason(text, low, high))
     good = marked.filter(F.col("reject_reason").isNull()).drop("reject_reason").withColumn(text, strip(text))
     return good, marked.filter(F.col("reject_reason").isNotNull())
 
@@ -116,7 +118,7 @@ def leakage_pairs(df: DataFrame, text: str = config.TEXT, split: str = "split",
 def assert_no_text_leakage(df: DataFrame, text: str = config.TEXT, split: str = "split", names=("train", "val", "test")) -> None:
     shared = texts_in_several_splits(df, text, split, names).count()
     if shared:
-        raise DataQualityError(f"{shared} texts appear in more than one split: train/test contamination")
+        raise DataQualityError(f"{shared} texts are shared by splits that must not share any")
 
 
 def row_agreement(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,30 +36,62 @@ CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"
 DAMAGED = "damaged_line"
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names as they stand in the file."""
+def csv_header(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Column names as they stand in the file (the first one of several)."""
     return spark.read.options(**{k: v for k, v in CSV_OPTIONS.items() if k != "dateFormat"}).csv(path).columns
 
 
-def _schema_in_file_order(header: list[str]) -> T.StructType:
+def files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of a path, folder or glob, grouped by their header lines.
+
+    One pass over the files as plain text keeps the first line of each; what reaches the driver is a name and a header
+    per file. Column names hold no line breaks.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    heads = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("head")).collect()
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in sorted(heads):
+        groups.setdefault(tuple(next(csv.reader([row["head"].lstrip("\ufeff")]))), []).append(row["file"])
+    return groups
+
+
+def _schema_in_file_order(header) -> T.StructType:
     """The schema's types under the file's own order; unknown columns are read as strings."""
     known = {f.name: f for f in REPORT_SCHEMA.fields}
     return T.StructType([known.get(name, T.StructField(name, T.StringType())) for name in header])
 
 
+def _read_by_header(spark: SparkSession, path: str, mode: str, damaged: bool = False, validate: bool = False) -> DataFrame:
+    """All files, each group under the schema of its own header, put together by column name."""
+    groups = files_by_header(spark, path)
+    if not groups:
+        raise DataQualityError("there are no reports to work on")
+    parts = []
+    for header, files in groups.items():
+        if validate and missing_columns(list(header)):
+            raise DataQualityError(f"{files[0]} lacks columns that a report table must have: {missing_columns(list(header))}")
+        schema = _schema_in_file_order(header)
+        reader = spark.read.options(**CSV_OPTIONS).option("mode", mode)
+        if damaged:
+            schema = schema.add(DAMAGED, T.StringType())
+            reader = reader.option("columnNameOfCorruptRecord", DAMAGED)
+        parts.append(reader.schema(schema).csv(files))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
 def load_reports(spark: SparkSession, path: str, validate: bool = True, mode: str = "FAILFAST") -> DataFrame:
     """Read report CSV files with types. ``validate`` runs the schema, row and key checks.
 
-    Types follow the names in the header, so a file with columns in another order is
-    read correctly. Embedded newlines force one task per file: convert large exports to
-    Parquet once and give the files a moderate size.
+    Types follow the names in the header of each file, so files with columns in another order, or in different orders,
+    are read correctly. A validated table is parsed once and written to the shared folder; the checks and all
+    later steps read that. Embedded newlines force one task per file: give exports a moderate file size.
     """
-    header = csv_header(spark, path)
-    if validate and missing_columns(header):
-        raise DataQualityError(f"report table is missing required columns: {missing_columns(header)}")
-    df = spark.read.schema(_schema_in_file_order(header)).options(**CSV_OPTIONS).option("mode", mode).csv(path)
+    df = _read_by_header(spark, path, mode, validate=validate)
     if validate:
-        assert_report_schema(df, header)
+        df = settle(df, "reports")
+        assert_report_schema(df)
     return df
 
 
@@ -66,8 +101,7 @@ def audit_malformed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     The parsed rows are written once, sound and damaged apart: a scan that prunes columns
     would not notice damage in the columns it skips.
     """
-    schema = _schema_in_file_order(csv_header(spark, path)).add(DAMAGED, T.StringType())
-    df = spark.read.schema(schema).options(**CSV_OPTIONS).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", DAMAGED).csv(path)
+    df = _read_by_header(spark, path, "PERMISSIVE", damaged=True)
     parsed = settle(df.withColumn("_damaged", F.col(DAMAGED).isNotNull()), "audited", ["_damaged"])
     return parsed.filter("not _damaged").drop("_damaged", DAMAGED), parsed.filter("_damaged").drop("_damaged")
 

@@ -162,7 +162,7 @@ def run_stamps(spark, sf):
 
 def _forms_sql() -> str:
     parts = [
-        f"SELECT token, left(token, length(token) - {len(e)}) || '{w}' AS lemma FROM counts WHERE suffix(token, '{e}') AND length(token) > {len(e)}"
+        f"SELECT token, left(token, length(token) - {len(e)}) || '{w}' AS lemma FROM counts WHERE suffix(token, '{e}') AND length(token) > {len(e)}" + (" AND NOT suffix(token, 'ss')" if e == "s" else "")
         for e, w in NOUN_ENDINGS
     ]
     return " UNION ".join(parts)
@@ -173,7 +173,7 @@ counts AS (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM
 forms AS ({_forms_sql()}),
 lemmas AS (SELECT token, lemma FROM (
   SELECT f.token, f.lemma, row_number() OVER (PARTITION BY f.token ORDER BY length(f.lemma), f.lemma) AS rn
-  FROM forms f JOIN counts c ON c.token = f.lemma WHERE f.lemma <> '') WHERE rn = 1)"""
+  FROM forms f JOIN counts c ON c.token = f.lemma JOIN counts t ON t.token = f.token WHERE f.lemma <> '' AND c.n >= 0.1 * t.n) WHERE rn = 1)"""
 
 
 def _tokens(spark, sf):
@@ -195,7 +195,7 @@ def lemmas_of_tokens(spark, sf):
 def text_lemmatised(spark, sf):
     """The full cleaner: normalised tokens, each replaced by its checked lemma."""
     tokens = _tokens(spark, sf)
-    done = apply_lemmas(tokens, "tokens", lemma_table(token_counts(tokens, "tokens")), "odiNumber")
+    done = apply_lemmas(tokens, "tokens", lemma_table(token_counts(tokens, "tokens")))
     return done.select("odiNumber", F.array_join("tokens", " ").alias("clean"))
 
 
@@ -208,10 +208,27 @@ def text_lemmatised_by_join(spark, sf):
     """The way taken when the lemma table is too large to broadcast; here as lemma counts."""
     tokens = _tokens(spark, sf)
     lemmas = lemma_table(token_counts(tokens, "tokens"))
-    done = apply_lemmas(tokens, "tokens", lemmas, "odiNumber", max_rows=0)
+    done = apply_lemmas(tokens, "tokens", lemmas, max_rows=0)
     return token_counts(done, "tokens").withColumnRenamed("token", "lemma")
 
 
+BOTH_SQL = f"WITH {LEMMA_SQL} SELECT count(*) AS n_rows, 0::BIGINT AS n_different FROM (SELECT * FROM lines UNION ALL SELECT * FROM lines)"
+
+
+@query("lemmas_both_ways", BOTH_SQL)
+def lemmas_both_ways(spark, sf):
+    """Dictionary and join give the same rows, also where keys repeat or are missing: each row comes twice here."""
+    tokens = _tokens(spark, sf)
+    lemmas = lemma_table(token_counts(tokens, "tokens"))
+    twice = tokens.unionByName(tokens).withColumn("odiNumber", F.when(F.col("odiNumber") % 3 != 0, F.col("odiNumber") % 7))
+    ways = [apply_lemmas(twice, "tokens", lemmas, max_rows=n).groupBy("odiNumber", "tokens").agg(F.count(F.lit(1)).alias(f"n{n}")) for n in (0, 10**6)]
+    both = ways[0].withColumnRenamed("odiNumber", "k").join(ways[1], F.col("k").eqNullSafe(F.col("odiNumber")) & (ways[0]["tokens"] == ways[1]["tokens"]), "full")
+    return both.agg(
+        F.sum(F.coalesce("n0", F.lit(0))).alias("n_rows"),
+        F.sum(F.abs(F.coalesce("n0", F.lit(0)) - F.coalesce("n1000000", F.lit(0)))).alias("n_different"),
+    )
+
+
 @query(
     "word_frequencies",
     f"SELECT word AS value, count(*) AS n FROM (SELECT unnest({CONTENT_SQL}) AS word FROM documents) GROUP BY word",

@@ -55,7 +55,7 @@ def run_dataset_build(
     if lemmas:
         lemma_table(token_counts(base, "_tokens"), min_count=lemma_min_count).write.mode("overwrite").parquet(f"{out}/lemmas")
         table = base.sparkSession.read.parquet(f"{out}/lemmas")
-        labelled = apply_lemmas(labelled, "_tokens", table, config.KEY)
+        labelled = apply_lemmas(labelled, "_tokens", table)
     done = time_split(stratified_split(labelled, seed=seed), max_year=max_year)
     write_splits(done.withColumn(config.CLEAN_TEXT, F.array_join("_tokens", " ")).drop("_tokens"), f"{out}/splits")
     written = base.sparkSession.read.parquet(f"{out}/splits")

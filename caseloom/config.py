@@ -27,8 +27,9 @@ PREVIEW_CHARS = 200
 DROPPED_COLUMNS = ("vin", "products")
 
 # A lookup table is broadcast only after a count shows it holds no more rows
-# than this; a larger one goes through a salted shuffle join instead.
+# and bytes than this; a larger one goes through a salted shuffle join instead.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)

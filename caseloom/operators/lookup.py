@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.config import BROADCAST_ROWS
+from caseloom.config import BROADCAST_BYTES, BROADCAST_ROWS
+from caseloom.session import settle
 
 SALTS = 32
 
 
-def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``small`` has at most ``max_rows`` rows; reads no more than one row beyond."""
-    return small.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``small`` has at most ``max_rows`` rows and ``max_bytes`` bytes of text; reads no more than one row beyond."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in small.schema.fields), F.lit(8))
+    found = small.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return found["n"] <= max_rows and found["b"] <= max_bytes
 
 
 def lookup(
@@ -24,11 +27,13 @@ def lookup(
 ) -> DataFrame:
     """Join ``big`` with ``small``, whose ``on`` values are unique.
 
-    Within ``max_rows`` the lookup table is broadcast and ``big`` is not shuffled.
+    The lookup table is written once, so its plan runs once. Within ``max_rows`` rows and ``BROADCAST_BYTES`` bytes it is
+    broadcast and ``big`` is not shuffled.
     Beyond it both sides are shuffled on the key plus a salt, with the lookup rows
     repeated once per salt, so a key holding a third of ``big`` is spread over
     ``SALTS`` tasks. Both ways give the same rows.
     """
+    small = settle(small, "lookup")
     if fits_broadcast(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom import config
-from caseloom.operators.lookup import lookup
+from caseloom.operators.lookup import fits_broadcast, lookup
+from caseloom.session import settle
 
 BUCKET_HEX = 3
 
@@ -57,14 +58,15 @@ def cut_values(df: DataFrame, label: str, key: str, cuts: DataFrame, order: Colu
     counts = keyed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
     ends = counts.withColumn("_end", F.sum("_n").over(Window.partitionBy(label).orderBy("_b")))
     edges = (
-        ends.join(F.broadcast(cuts), label)
+        ends.join(cuts, label)
         .filter((F.col("upto") <= F.col("_end")) & (F.col("upto") > F.col("_end") - F.col("_n")))
         .select(label, "_b", "cut_no", (F.col("upto") - F.col("_end") + F.col("_n")).alias("_need"))
     )
     rank = F.row_number().over(Window.partitionBy(label, "_b", "cut_no").orderBy("_o", "_k"))
+    edges = settle(edges, "edges")  # a row or two per class
+    found = keyed.join(F.broadcast(edges), [label, "_b"]) if fits_broadcast(edges) else keyed.join(edges, [label, "_b"])
     return (
-        keyed.join(F.broadcast(edges), [label, "_b"])
-        .withColumn("_rank", rank)
+        found.withColumn("_rank", rank)
         .filter(F.col("_rank") == F.col("_need"))
         .select(label, "cut_no", F.struct("_o", "_k").alias("at"))
     )
@@ -74,9 +76,10 @@ def assign_parts(df: DataFrame, label: str, key: str, cuts: DataFrame, seed: int
     """Add ``out``: how many cuts of its class lie before the row.
 
     ``cuts`` is ``(label, cut_no, upto)``, ``upto`` being the number of rows in parts up
-    to and including ``cut_no``. It has a few rows per class, hence the broadcasts.
+    to and including ``cut_no``; it is written once. Joins are broadcasts where a count of rows and bytes allows it.
     """
     order = random_order(key, seed)
+    cuts = settle(cuts, "cuts")
     at = cut_values(df, label, key, cuts, order)
     per_class = cuts.join(at, [label, "cut_no"], "left").groupBy(label).agg(F.collect_list(F.struct("cut_no", "at")).alias("_cuts"))
     passed = F.filter("_cuts", lambda c: c["at"].isNull() | (c["at"] < F.col("_row")))

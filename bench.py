@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from caseloom import catalog
 from caseloom.catalog.base import reports
-from caseloom.config import NgramSpec
 from caseloom.operators import features, models
 from caseloom.plans import dataset, scoring, training
 from caseloom.session import build_session, work_path
@@ -65,12 +64,11 @@ def main() -> None:
     train = splits.filter("split = 'train'")
     timed("train_logistic_job", lambda: training.run_training(
         spark, built.splits, out, lemmas, {"word_tfidf": features.fit_word_tfidf}, {"logistic_regression": models.train_logistic},
-        model_options={"logistic_regression": {"max_iter": 50}},
     ))
     timed("score_explain_job", lambda: scoring.run_scoring(spark, reports(spark, SF_DIR), out, f"{out}/log"))
-    small = features.fit_word_tfidf(train, NgramSpec(1, 1, 3, 2000)).transform(splits).select("odiNumber", "primary_component", "split", "features").persist()
+    small = features.fit_word_tfidf(train).transform(splits).select("odiNumber", "primary_component", "split", "features").persist()
     small.count()
-    svm = timed("train_calibrated_svm", lambda: models.train_calibrated_svc(small.filter("split = 'train'"), max_iter=10))
+    svm = timed("train_calibrated_svm", lambda: models.train_calibrated_svc(small.filter("split = 'train'")))
     timed("score_calibrated_svm", lambda: finish(svm.predict(small)))
     for name in REGISTERED:
         timed(name, lambda: finish(catalog.QUERIES[name](spark, SF_DIR)))

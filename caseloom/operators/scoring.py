@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
@@ -20,16 +18,15 @@ from caseloom.operators.lookup import lookup
 from caseloom.operators.models import TrainedModel, coefficient_table
 from caseloom.operators.splits import seeded_sample
 
-MODEL_ROWS = 20_000_000  # a coefficient table is no larger than the model the driver holds
 
 EXPLANATION_TYPE = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("contribution", T.DoubleType())]))
 EXPLANATION = EXPLANATION_TYPE.simpleString()
 
 
-def clean_for_scoring(df: DataFrame, text: str, key: str, lemmas: DataFrame | None = None, out: str = config.CLEAN_TEXT) -> DataFrame:
+def clean_for_scoring(df: DataFrame, text: str, lemmas: DataFrame | None = None, out: str = config.CLEAN_TEXT) -> DataFrame:
     tokens = df.withColumn("_tokens", classical_tokens(text))
     if lemmas is not None:
-        tokens = apply_lemmas(tokens, "_tokens", lemmas, key)
+        tokens = apply_lemmas(tokens, "_tokens", lemmas)
     return tokens.withColumn(out, F.array_join("_tokens", " ")).drop("_tokens")
 
 
@@ -38,17 +35,17 @@ def term_contributions(df: DataFrame, featurizer: PipelineModel, model: TrainedM
     spark = df.sparkSession
     weights = explode_features(df, [key, "predicted_label"])
     coefs = coefficient_table(spark, model).withColumnRenamed("label", "predicted_label")
-    named = lookup(coefs, feature_table(spark, featurizer), ["idx"], max_rows=MODEL_ROWS)
-    joined = lookup(weights, named, ["predicted_label", "idx"], "inner", MODEL_ROWS)
+    named = lookup(coefs, feature_table(spark, featurizer), ["idx"])
+    joined = lookup(weights, named, ["predicted_label", "idx"], "inner")
     return joined.select(key, "predicted_label", "term", (F.col("weight") * F.col("coef")).alias("contribution"))
 
 
 def with_explanation(df: DataFrame, featurizer: PipelineModel, model: TrainedModel, top: int = config.EXPLAIN_TERMS) -> DataFrame:
     """Add ``explanation``: the ``top`` terms by signed contribution to the predicted label.
 
-    Exploding and regrouping would shuffle every non-zero entry. The coefficients are
-    as large as the model, so they are broadcast and each Arrow batch is explained where
-    it is. Models without coefficients give null. ``features`` is dropped.
+    Exploding and regrouping would shuffle every non-zero entry. The coefficients are as large as the model, so they are
+    broadcast; only label, indices and values go to Python, in Arrow batches. Features of weight zero are no terms,
+    whether the vector is sparse or dense. Models without coefficients give null. ``features`` is dropped.
     """
     try:
         coefs, _ = model.linear_parts()
@@ -56,33 +53,32 @@ def with_explanation(df: DataFrame, featurizer: PipelineModel, model: TrainedMod
         return without_explanation(df.drop("features"))
     shared = df.sparkSession.sparkContext.broadcast((coefs, feature_names(featurizer), model.labels))
 
-    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(EXPLANATION_TYPE)
+    def explain(label: pa.Array, indices: pa.Array, values: pa.Array) -> pa.Array:
         weights, terms, labels = shared.value
-        terms = pa.array(terms)
         place = {name: i for i, name in enumerate(labels)}
-        for batch in batches:
-            row_class = np.array([place[x] for x in batch.column("predicted_label").to_pylist()], dtype=np.int64)
-            yield _append_terms(batch, row_class, weights, terms, top)
+        row_class = np.array([place[x] for x in label.to_pylist()], dtype=np.int64)
+        return _leading_terms(indices, values, row_class, weights, pa.array(terms), top)
 
     raw = F.unwrap_udt("features")
     indices = F.coalesce(raw["indices"], F.sequence(F.lit(0), F.size(raw["values"]) - 1))
-    flat = df.withColumn("_indices", indices).withColumn("_values", raw["values"]).drop("features")
-    kept = [f for f in flat.schema.fields if f.name not in ("_indices", "_values")]
-    schema = T.StructType([*kept, T.StructField("explanation", EXPLANATION_TYPE)])
-    return flat.mapInArrow(explain, schema).withColumn("explanation_method", F.lit("coefficient"))
+    explained = df.withColumn("explanation", explain("predicted_label", indices, raw["values"])).drop("features")
+    return explained.withColumn("explanation_method", F.lit("coefficient"))
 
 
 def without_explanation(df: DataFrame) -> DataFrame:
     return df.withColumn("explanation", F.lit(None).cast(EXPLANATION)).withColumn("explanation_method", F.lit(None).cast("string"))
 
 
-def _append_terms(batch: pa.RecordBatch, row_class: np.ndarray, weights: np.ndarray, terms: pa.Array, top: int) -> pa.RecordBatch:
+def _leading_terms(indices: pa.Array, values: pa.Array, row_class: np.ndarray, weights: np.ndarray, terms: pa.Array, top: int) -> pa.Array:
     """Rank coefficient x value of all rows of a batch in one sort, ties by term."""
-    lists = batch.column("_indices")
-    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    idx = lists.flatten().to_numpy(zero_copy_only=False)
-    x = batch.column("_values").flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(sizes)), sizes)
+    lengths = indices.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    idx = indices.flatten().to_numpy(zero_copy_only=False)
+    x = values.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    there = x != 0
+    idx, x, row = idx[there], x[there], row[there]
+    sizes = np.bincount(row, minlength=len(lengths))
     part = weights[row_class[row], idx] * x
     # Feature order is term order within a block, so the index breaks ties by term.
     order = np.lexsort((idx, -part, row))
@@ -91,9 +87,7 @@ def _append_terms(batch: pa.RecordBatch, row_class: np.ndarray, weights: np.ndar
     taken = np.minimum(sizes, top)
     offsets = pa.array(np.concatenate([[0], np.cumsum(taken)]).astype(np.int32))
     pairs = pa.StructArray.from_arrays([terms.take(pa.array(idx[best])), pa.array(np.round(part[best], 4) + 0.0)], ["term", "contribution"])
-    names = [n for n in batch.schema.names if n not in ("_indices", "_values")]
-    columns = [batch.column(n) for n in names]
-    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pairs)], [*names, "explanation"])
+    return pa.ListArray.from_arrays(offsets, pairs)
 
 
 def score_records(

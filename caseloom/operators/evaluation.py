@@ -28,9 +28,15 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
 
-def class_scores(df: DataFrame, true: str = "true", pred: str = "pred") -> DataFrame:
-    """``(label, precision, recall, f1, support)``; an undefined ratio is 0."""
+def class_scores(df: DataFrame, true: str = "true", pred: str = "pred", labels: list[str] | None = None) -> DataFrame:
+    """``(label, precision, recall, f1, support)``; an undefined ratio is 0.
+
+    With ``labels``, the label space of a training run, exactly these classes are listed, absent ones with zeros.
+    """
     c = class_counts(confusion_counts(df, true, pred))
+    if labels is not None:
+        listed = df.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+        c = listed.join(c, "label", "left").na.fill(0, ["tp", "support", "predicted"])
     return c.select(
         "label",
         "tp",
@@ -41,10 +47,10 @@ def class_scores(df: DataFrame, true: str = "true", pred: str = "pred") -> DataF
     )
 
 
-def compute_metrics(df: DataFrame, true: str = "true", pred: str = "pred") -> DataFrame:
+def compute_metrics(df: DataFrame, true: str = "true", pred: str = "pred", labels: list[str] | None = None) -> DataFrame:
     """One row: accuracy, macro precision, recall and F1, weighted F1. Null for no rows."""
     total = F.sum("support")
-    return class_scores(df, true, pred).agg(
+    return class_scores(df, true, pred, labels).agg(
         (F.sum("tp") / total).alias("accuracy"),
         F.avg("precision").alias("macro_precision"),
         F.avg("recall").alias("macro_recall"),
@@ -53,9 +59,9 @@ def compute_metrics(df: DataFrame, true: str = "true", pred: str = "pred") -> Da
     )
 
 
-def classification_report(df: DataFrame, true: str = "true", pred: str = "pred") -> DataFrame:
+def classification_report(df: DataFrame, true: str = "true", pred: str = "pred", labels: list[str] | None = None) -> DataFrame:
     """``(label, precision, recall, f1, support)`` per class, then accuracy and two averages."""
-    scores = class_scores(df, true, pred)
+    scores = class_scores(df, true, pred, labels)
     total = F.sum("support")
     averages = scores.agg(
         (F.sum("tp") / total).alias("acc"),

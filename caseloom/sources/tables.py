@@ -9,7 +9,7 @@ from pyspark.sql.utils import AnalysisException
 
 from caseloom import config
 from caseloom.functions.text import preview
-from caseloom.operators.evaluation import classification_report, confusion_counts
+from caseloom.operators.evaluation import classification_report, confusion_counts, report_text
 from caseloom.operators.errors import confused_pairs
 from caseloom.operators.models import TrainedModel, load_model
 
@@ -47,16 +47,19 @@ def _stamped(df: DataFrame, run_id: str, family: str) -> DataFrame:
 
 
 def write_run(
-    predictions: DataFrame, metrics: DataFrame, path: str, run_id: str, family: str = "baseline", top_pairs: int = 20
+    predictions: DataFrame, metrics: DataFrame, path: str, run_id: str, family: str = "baseline", top_pairs: int = 20,
+    labels: list[str] | None = None,
 ) -> None:
-    """Append one run: metrics, class report, confusion counts and confused pairs.
+    """Append one run: metrics, class report as rows and as text, confusion counts and confused pairs.
 
     ``predictions`` holds ``true`` and ``pred``; ``metrics`` is ``(scope, metric, value)``.
     """
     counts = confusion_counts(predictions)
+    report = classification_report(predictions, labels=labels)
     for name, table in (
         ("run_metrics", metrics),
-        ("run_report", classification_report(predictions)),
+        ("run_report", report),
+        ("run_report_text", report_text(report)),
         ("run_confusion", counts),
         ("run_pairs", confused_pairs(predictions, top_pairs)),
     ):
@@ -70,6 +73,14 @@ def latest_run(spark: SparkSession, path: str, table: str, family: str = "baseli
     return df.join(F.broadcast(newest), "run_id", "left_semi")
 
 
+RUN_TABLES = ("run_metrics", "run_report", "run_report_text", "run_confusion", "run_pairs")
+
+
+def latest_run_tables(spark: SparkSession, path: str, family: str = "baseline") -> dict[str, DataFrame]:
+    """All tables of the newest run of a family, by name."""
+    return {name: latest_run(spark, path, name, family) for name in RUN_TABLES}
+
+
 def append_experiments(df: DataFrame, path: str) -> None:
     """One row per trained combination: parameters, val metrics, times."""
     df.coalesce(1).write.mode("append").parquet(path)

@@ -10,10 +10,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.catalog.base import SPLIT_SQL, once, query, reports, table, ws
+from caseloom.catalog.base import SPLIT_SQL, once, query, reports, split_reports, table, ws
 from caseloom.catalog.feature_queries import clean_split, train_rows
 from caseloom.catalog.text_queries import _tokens
-from caseloom.config import LABEL
+from caseloom.config import CLEAN_TEXT, LABEL
+from caseloom.functions.text import classical_clean
 from caseloom.operators import features, models, scoring
 from caseloom.operators.lemma import lemma_table, token_counts
 from caseloom.plans import dataset, scoring as scoring_plan, training
@@ -275,6 +276,57 @@ def dense_network_scored(spark, sf):
     return tested(spark, sf, models.predict(scored.drop("prediction", "rawPrediction"), labels))
 
 
+def trained_job(spark, sf) -> str:
+    """Folder of one training job on the split reports, shared by the queries that read its tables."""
+    place = (spark.sparkContext.applicationId, sf, "job")
+    if place not in _MODELS:
+        out = work_path(spark, "trained")
+        tables.write_splits(split_reports(spark, sf).withColumn(CLEAN_TEXT, classical_clean("summary")), f"{out}/splits")
+        options = {"featurizers": {"word_tfidf": features.fit_word_tfidf}, "models": {"logistic_regression": models.train_logistic}}
+        states = [training.run_retrain(spark, f"{out}/splits", out, **options)]
+        spark.createDataFrame([("other", "started")], "job string, event string").withColumn("at", F.current_timestamp()).write.mode("append").json(f"{out}/retrain_log")
+        states.append(training.run_retrain(spark, f"{out}/splits", out, **options))
+        _MODELS[place] = (out, states)
+    return _MODELS[place]
+
+
+@query("retrain_guard", "SELECT unnest([1, 2]) AS call, unnest(['started', 'already_running']) AS state FROM (SELECT count(*) FROM documents)")
+def retrain_guard(spark, sf):
+    """A retrain starts, and another one does not start beside a job that has not ended."""
+    _, states = trained_job(spark, sf)
+    return spark.createDataFrame(list(enumerate(states, 1)), "call int, state string")
+
+
+@query(
+    "latest_run_metrics",
+    f"WITH {SPLIT_SQL} SELECT unnest(['run_confusion', 'run_report', 'run_report_text']) AS part, unnest([count(*), count(*), count(DISTINCT primary_component) + 3]) AS n, "
+    "true AS as_measured FROM split_reports WHERE split = 'test'",
+)
+def latest_run_metrics(spark, sf):
+    """The tables of the newest run agree: rows of the test split, and accuracy from the confusion counts."""
+    run = tables.latest_run_tables(spark, trained_job(spark, sf)[0])
+    stated = run["run_metrics"].filter("scope = 'test' AND metric = 'accuracy'").first()["value"]
+    c = run["run_confusion"].agg(F.sum("n").alias("n"), (F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("v"))
+    r = run["run_report"].filter("label = 'accuracy'").select(F.col("support").alias("n"), F.col("f1").alias("v"))
+    t = run["run_report_text"].agg(F.count(F.lit(1)).alias("n"), F.lit(stated).alias("v"))
+    parts = [d.select(F.lit(name).alias("part"), "n", (F.abs(F.col("v") - stated) < 1e-9).alias("as_measured")) for name, d in (("run_confusion", c), ("run_report", r), ("run_report_text", t))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "experiment_rows",
+    f"WITH {SPLIT_SQL} SELECT 'word_tfidf__logistic_regression' AS combo, count(*) AS n_train, 1000 AS max_iter, '[1, 2, 3, 30000]' AS word, 42 AS seed FROM split_reports WHERE split = 'train'",
+)
+def experiment_rows(spark, sf):
+    """What an experiment was trained with is in its row."""
+    rows = spark.read.parquet(f"{trained_job(spark, sf)[0]}/experiments")
+    value = lambda path: F.get_json_object("parameters", path)
+    return rows.select(
+        "combo", "n_train", value("$.model.max_iter").cast("int").alias("max_iter"),
+        F.replace(value("$.features.word"), F.lit(","), F.lit(", ")).alias("word"), value("$.seed").cast("int").alias("seed"),
+    )
+
+
 STREAM_SQL = f"""SELECT count(*) AS n_logged, count(DISTINCT substr(trim(text, {ws()}), 1, 200)) AS n_previews,
   (SELECT count(*) FROM documents) - count(*) AS n_rejected, 0::BIGINT AS n_other_label
 FROM documents WHERE length(trim(text, {ws()})) BETWEEN 5 AND 10000"""

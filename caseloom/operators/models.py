@@ -358,8 +358,11 @@ def train_plain_svm(train: DataFrame, label: str, max_iter: int = 100, c: float
     return model.models, labels
 
 
-def train_dense_network(train: DataFrame, label: str, hidden: tuple[int, ...] = (512, 256), max_iter: int = 5):
-    """The older dense network on a small feature vector."""
+def train_dense_network(train: DataFrame, label: str, hidden: tuple[int, ...] = (512, 256), max_iter: int = 30):
+    """The older dense network on a small feature vector.
+
+    The published five epochs are some hundred small steps; here a step is a pass over all rows.
+    """
     indexed, labels = _with_index(train, label)
     data = indexed.select("features", F.col("_y").alias("label")).persist()
     width = data.select(F.coalesce(F.unwrap_udt("features")["size"], F.size(F.unwrap_udt("features")["values"])).alias("d")).first()["d"]

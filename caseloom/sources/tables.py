@@ -66,16 +66,23 @@ def write_run(
         _stamped(table, run_id, family).coalesce(1).write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
 
 
+RUN_TABLES = {  # columns of the tables of a run; a table without rows has no file that tells them
+    "run_metrics": "scope string, metric string, value double",
+    "run_report": "label string, precision double, recall double, f1 double, support long",
+    "run_report_text": "line_no int, line string",
+    "run_confusion": "true string, pred string, n long",
+    "run_pairs": "true string, pred string, count long",
+}
+
+
 def latest_run(spark: SparkSession, path: str, table: str, family: str = "baseline") -> DataFrame:
     """Rows of the newest run of a family; run ids sort by time."""
-    df = spark.read.parquet(f"{path}/{table}").filter(F.col("family") == family)
+    reader = spark.read.schema(f"{RUN_TABLES[table]}, family string, run_id string") if table in RUN_TABLES else spark.read
+    df = reader.parquet(f"{path}/{table}").filter(F.col("family") == family)
     newest = df.agg(F.max("run_id").alias("run_id"))
     return df.join(F.broadcast(newest), "run_id", "left_semi")
 
 
-RUN_TABLES = ("run_metrics", "run_report", "run_report_text", "run_confusion", "run_pairs")
-
-
 def latest_run_tables(spark: SparkSession, path: str, family: str = "baseline") -> dict[str, DataFrame]:
     """All tables of the newest run of a family, by name."""
     return {name: latest_run(spark, path, name, family) for name in RUN_TABLES}

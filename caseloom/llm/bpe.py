@@ -29,8 +29,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 # Fixed value: the White_Space characters. A run of others, with a space before it, is split on its own.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNKS = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-KNOWN_WORDS = 1 << 18  # encoded words a worker remembers, twice: the older half goes when the newer is full
-KNOWN_ARCS = 1 << 20
+KNOWN_WORDS = 1 << 17  # encoded words a worker remembers, twice: the older half goes when the newer is full
+KNOWN_ARCS = 1 << 18
+KNOWN_STARTS = 1 << 17
 LONGEST_KNOWN = 64
 LONGEST_LABEL = 256  # bytes looked at for one token; longer labels are refused
 
@@ -106,7 +107,7 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.firsts: dict[bytes, int] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}  # by state and token in one number
         names = sorted(automaton.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.emit = [automaton.labels.get(i, b"") for i in range(max(automaton.labels) + 1)]
@@ -121,7 +122,7 @@ class Encoder:
                 break
             found = ends.get(node, found)
         if len(rest) <= LONGEST_KNOWN:
-            if len(self.firsts) >= KNOWN_WORDS:
+            if len(self.firsts) >= KNOWN_STARTS:
                 self.firsts.clear()
             self.firsts[rest] = found
         return found
@@ -129,7 +130,7 @@ class Encoder:
     def _learn(self, state: int, token: int) -> bool:
         if len(self.arcs) >= KNOWN_ARCS:
             self.arcs.clear()
-        free = self.arcs[state, token] = self.a.arc(state, token)
+        free = self.arcs[state << 32 | token] = self.a.arc(state, token)
         return free
 
     def _path(self, data: bytes) -> list[int]:
@@ -144,7 +145,7 @@ class Encoder:
         while True:
             stop = place + len(emit[token])
             if stop not in closed:
-                free = before < 0 or arcs.get((before, token))
+                free = before < 0 or arcs.get(before << 32 | token)
                 if free is None:
                     free = self._learn(before, token)
                 if free:

@@ -23,7 +23,7 @@ from caseloom.llm.repeats import keyed, merged, repeated_spans, texts_of, with_s
 
 ANCHOR_WORDS = 8
 EDGE = "context long, digest long, m long, at int, edge long, tail long, head long"
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 17
 _WORDS: dict[bytes, int] = {}  # hashes of frequent words in this worker
 
 

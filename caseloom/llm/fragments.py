@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 PLACE_BITS = 24  # of an anchor's sort key: the place in the piece of text at hand
-PIECE = 1 << 20  # symbols handled at a time; pieces share length - 1 symbols
+PIECE = 1 << 18  # symbols handled at a time; pieces share length - 1 symbols
 U8 = np.uint64
 BASES = (U8(0x9E3779B97F4A7C15), U8(0xC2B2AE3D27D4EB4F))  # odd
 

@@ -87,7 +87,8 @@ def repeated_spans(rows: DataFrame, sequence_of, length: int, k: int, search: Ca
     """
     table = settle(fragment_table(rows, sequence_of, length, k), "fragments")
     contexts = table.groupBy("context").agg(F.count("*").alias("c"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
-    contexts = contexts.filter("c > 1").select("context", (F.col("lo") == F.col("hi")).alias("same"))
+    # Written first, so that the join below gets its rows from an exchange that can be split where a context is frequent.
+    contexts = settle(contexts.filter("c > 1").select("context", (F.col("lo") == F.col("hi")).alias("same")), "contexts")
     seen = settle(table.join(contexts, "context"), "repeated")
     several = seen.filter("NOT same")
     kinds = settle(several.groupBy("context", "digest").agg(

@@ -2,7 +2,8 @@
 
 Fragments that share a context (see ``repeats``) are laid end to end in shards, a context never in two of them; each
 shard is sorted by external induced sorting, and windows whose suffix has a neighbour with a window's length in common
-are repeated.
+are repeated. A context with more than ``CONTEXT_TEXTS`` different texts would be one sort in one task; its windows are
+counted by key in a shuffle instead, which finds the same ones.
 """
 
 from __future__ import annotations
@@ -11,14 +12,19 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from caseloom.llm.base import settle
+from caseloom.llm.fragments import Hashed
 from caseloom.llm.induced import InducedSort, array
 from caseloom.llm.repeats import Emitter, keyed, merged, repeated_spans, texts_of, with_spans
 
 ANCHOR_BYTES = 32
 SHARD_BYTES = 4 << 20  # a shard is closed at the end of the context that passes this size
 TEXTS = "context long, digest long, m long, n int, text binary"
+CONTEXT_TEXTS = 4096  # different texts of a context that are sorted together, about 2.5 MB of windows of 400 bytes
 FOUND = "context long, digest long, spans array<int>"
+WINDOW = "context long, digest long, m long, at int, one long, two long"
 
 
 def sequence_of(data: bytes) -> np.ndarray:
@@ -51,11 +57,39 @@ def runs_of(places: np.ndarray, length: int) -> list[int]:
     return np.stack([first, last + length], axis=1).ravel().tolist()
 
 
-def suffix_search(length: int):
+def by_size(kinds: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """``kinds`` of contexts with up to ``most`` different texts, and those of larger ones; None if there are none."""
+    large = settle(kinds.groupBy("context").agg(F.count("*").alias("c")).filter(F.col("c") > most).select("context"), "large_contexts")
+    if large.isEmpty():
+        return kinds, None
+    parts = settle(kinds.join(large.withColumn("_large", F.lit(True)), "context", "left"), "kinds_by_size")
+    return parts.filter("_large IS NULL").drop("_large"), parts.filter("_large").drop("_large")
+
+
+def counted_windows(rows: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
+    """(context, digest, spans) like the suffix search, by two 64-bit hashes of each window and their counts."""
+
+    def cut(data, wanted):
+        symbols = sequence_of(data)
+        for w in wanted:
+            piece = symbols[w["first"] : w["first"] + w["n"] + length - 1]
+            one, two = (Hashed(piece, k).every(length).view("i8").tolist() for k in (0, 1))
+            for at in range(w["n"]):
+                yield w["context"], w["digest"], w["m"], at, one[at], two[at]
+
+    windows = settle(texts_of(rows, kinds, cut, WINDOW), "windows")
+    key = ["context", "one", "two"]
+    repeated = settle(windows.groupBy(*key).agg(F.sum("m").alias("c")).filter("c > 1").select(*key), "repeated_windows")
+    places = windows.join(repeated, key).groupBy("context", "digest").agg(F.collect_list("at").alias("places"))
+    return places.select("context", "digest", F.flatten(F.transform("places", lambda x: F.array(x, x + length))).alias("spans"))
+
+
+def suffix_search(length: int, most: int = CONTEXT_TEXTS):
     """The search of ``repeats`` by suffix sorting. Texts of one context that occur twice or more are repeated whole."""
 
     def search(rows: DataFrame, kinds: DataFrame) -> DataFrame:
         emit = Emitter(FOUND)
+        kinds, large = by_size(kinds, most)
 
         def cut(data, wanted):
             for w in wanted:
@@ -81,7 +115,8 @@ def suffix_search(length: int):
                 yield solve(shard)
 
         texts = texts_of(rows, kinds, cut, TEXTS)
-        return texts.repartition("context").sortWithinPartitions("context").mapInArrow(run, FOUND)
+        found = texts.repartition("context").sortWithinPartitions("context").mapInArrow(run, FOUND)
+        return found if large is None else found.unionByName(counted_windows(rows, large, length))
 
     return search
 

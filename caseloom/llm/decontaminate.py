@@ -191,16 +191,17 @@ def decontaminate(
     item_id: str = "item_id",
     item_text: str = "text",
     remove: bool = False,
-    max_length: int = 0,
-    max_coverage: float = 0.0,
+    max_length: int | None = 0,
+    max_coverage: float | None = None,
     keep: list[str] | None = None,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated.
 
     A word is hit if it lies in an occurrence of ``window`` consecutive item words, or of a whole shorter item. With
-    ``remove``, maximal hit spans longer than ``max_length`` words leave the text if they cover more than
-    ``max_coverage`` of the document's words; the rest of the text stays as it is, with one space for each span.
+    ``remove``, maximal hit spans longer than ``max_length`` words leave the text, and all of them if they cover more
+    than ``max_coverage`` of the document's words; None is no limit. The rest of the text stays as it is, with one
+    space for each span.
     Null and empty texts have no words, items without words have no windows, a null item id counts as the id "null",
     repeated items count once. Columns of the result's names are replaced.
     """
@@ -224,7 +225,8 @@ def decontaminate(
                 n_hit.append(hit)
                 sha.append(hashlib.sha256(",".join(found).encode()).hexdigest())
                 if remove:
-                    cut = [(a, b) for a, b in pairs if b - a > max_length] if hit > max_coverage * total else []
+                    covered = max_coverage is not None and hit > max_coverage * total
+                    cut = [(a, b) for a, b in pairs if covered or (max_length is not None and b - a > max_length)]
                     new.append(without_words(data, cut) if cut else data)
             counts = [len(found) for found in names.to_pylist()]
             flags = [n > 0 for n in n_hit]

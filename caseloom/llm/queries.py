@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import bpe, classifier, debruijn, decontaminate, quality, simhash, suffixes, token_counts, urls, warc
+from caseloom.llm import bpe, classifier, debruijn, decontaminate, quality, repair, simhash, suffixes, token_counts, urls, warc
 from caseloom.llm.base import read
 from caseloom.llm.sql import ORACLES  # noqa: F401
 
@@ -71,3 +71,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_bpe")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", keep=["doc_id"])
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.repair_conversations(read(spark, sf, "conversations"))

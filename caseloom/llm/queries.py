@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import bpe, classifier, debruijn, decontaminate, prefixes, quality, repair, simhash, suffixes, token_counts, urls, warc
+from caseloom.llm import (
+    bpe, classifier, debruijn, decontaminate, hyperminhash, prefixes, quality, repair, simhash, suffixes, token_counts, urls, warc,
+)
 from caseloom.llm.base import read
 from caseloom.llm.sql import ORACLES  # noqa: F401
 
@@ -73,6 +75,11 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", keep=["doc_id"])
 
 
+@query("op11_hyperminhash")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return hyperminhash.similar_documents(read(spark, sf, "documents"), keep=["doc_id"])
+
+
 @query("op12_prefix_trie")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return prefixes.prefix_trie(read(spark, sf, "conversations"))

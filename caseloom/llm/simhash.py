@@ -29,7 +29,6 @@ SEED = 42
 SHINGLES_AT_ONCE = 100_000
 BLOCK = 1024  # fingerprints of a bucket in one block; a cell holds two blocks
 PAIR_COST = 0.02  # verifying a candidate, in units of making and dealing out a signature
-NO_ID = 1 << 62  # stands for a missing document id
 
 
 def fingerprint(data: bytes | None, shingle: int = 3) -> bytes:
@@ -260,24 +259,30 @@ def _as_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": both[:, 0], "b": both[:, 1]})
 
 
+def fingerprint_components(prints: DataFrame, tau: int = 3, block: int = BLOCK) -> DataFrame:
+    """(_fp, root) of each different fingerprint of ``prints``: root is the smallest one reachable over ``tau`` bits or fewer."""
+    classes = settle(prints.select("_fp").distinct().withColumn("rep", F.col("_fp")), "classes")
+    n = classes.count()
+    if n < 2:
+        return classes.withColumnRenamed("rep", "root")
+    sigs = settle(signatures(classes, plan_probes(classes, n, tau)), "signatures")
+    roots = connected_components(links_of(sigs, tau, block)).withColumnRenamed("node", "_fp")
+    return settle(classes.join(roots, "_fp", "left").select("_fp", F.coalesce("root", "rep").alias("root")), "components")
+
+
 def near_duplicates(
     df: DataFrame, tau: int = 3, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, keep: list[str] | None = None, block: int = BLOCK
 ) -> DataFrame:
     """``df`` with fingerprint and component_id, the smallest document id reachable over links of ``tau`` bits or fewer.
 
     Null and empty texts have fingerprint zero and are linked like any other. Repeated rows share a fingerprint and so a
-    component. A null id never names a component; one without any id is null. Ids must be below 2^62. Columns of these
-    names are replaced.
+    component; rows that repeat an id with other texts are linked by their own texts alone. Ids may be of any type that has
+    an order. A null id never names a component; one without any id is null. Columns of these names are replaced.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("fingerprint", "component_id")]
-    rows = df.select(*numbered(kept), column(doc_id).cast("long").alias("id"), as_bytes(text).alias("text"))
+    rows = df.select(*numbered(kept), column(doc_id).alias("id"), as_bytes(text).alias("text"))
     prints = settle(with_fingerprints(rows, "text", shingle, [*(f"k{i}" for i in range(len(kept))), "id"]), "fingerprints")
-    stand_in = F.lit(NO_ID) + F.shiftrightunsigned("_fp", 2)  # classes without an id that share it are linked anyway
-    classes = settle(prints.groupBy("_fp").agg(F.min("id").alias("rep")).select("_fp", F.coalesce("rep", stand_in).alias("rep")), "classes")
-    n = classes.count()
-    if n > 1:
-        sigs = settle(signatures(classes, plan_probes(classes, n, tau)), "signatures")
-        roots = connected_components(links_of(sigs, tau, block))
-        classes = classes.join(roots, classes["rep"] == roots["node"], "left").select("_fp", F.coalesce("root", "rep").alias("rep"))
-    ids = classes.select("_fp", F.when(F.col("rep") < NO_ID, F.col("rep")).alias("component_id"))
+    ids = prints.groupBy("_fp").agg(F.min("id").alias("id")).join(fingerprint_components(prints, tau, block), "_fp")
+    least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
+    ids = ids.join(least, "root").select("_fp", "component_id")
     return prints.join(ids, "_fp").select(*named(kept), "fingerprint", "component_id")

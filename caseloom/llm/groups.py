@@ -1,8 +1,8 @@
 """Links between similar sets, confirmed on the full sets inside groups.
 
 ``sets`` has columns group, node and s (ascending 64-bit numbers as bytes); only sets of a group are compared. A cell is
-held in one task, bounded in sets and bytes, and returns a spanning forest of its links: every pair that is not yet joined
-is compared, none is listed.
+held in one task, bounded in sets and bytes, and names for each set the least one it is joined with: every pair that is
+not yet joined is compared, none is listed.
 
 A group that fits a cell is one. Larger ones go through three steps. Blocks of them are cells, and then blocks of one set
 from each part that has formed: this joins a large group of near copies at a cost that grows with its size. At last what
@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm.base import settle
-from caseloom.llm.links import connected_components
 
 CELL_SETS = 512
 CELL_BYTES = 8 << 20
@@ -52,8 +51,23 @@ def cell_links(node: list[int], side: np.ndarray, part: np.ndarray, sets: list[n
     return out
 
 
+def stars_of(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(node, least node it is linked with) of all other nodes of a forest."""
+    root: dict[int, int] = {}
+
+    def find(n: int) -> int:
+        while root.setdefault(n, n) != n:
+            root[n] = n = root[root[n]]
+        return n
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [(n, find(n)) for n in list(root) if find(n) != n]
+
+
 def _in_cells(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of rows (cell, node, side, part, s), a cell at a time."""
+    """Links (a, b) of rows (cell, node, side, part, s), a cell at a time: b is the least node of the cell that a is joined with."""
     dealt = rows.select("cell", "node", "side", "part", "s").repartition("cell").sortWithinPartitions("cell")
 
     def run(batches):
@@ -61,7 +75,7 @@ def _in_cells(rows: DataFrame, percent: int) -> DataFrame:
 
         def done():
             found = cell_links([r[0] for r in held], np.array([r[1] for r in held]), np.array([r[2] for r in held]), [r[3] for r in held], percent)
-            both = np.array(found, "i8").reshape(-1, 2)
+            both = np.array(stars_of(found), "i8").reshape(-1, 2)
             return pa.RecordBatch.from_pydict({"a": both[:, 0], "b": both[:, 1]})
 
         for batch in batches:
@@ -97,12 +111,12 @@ def confirmed_links(sets: DataFrame, percent: int, cell_sets: int = CELL_SETS, c
         return F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
 
     links = settle(_in_cells(large.withColumn("cell", F.xxhash64("group", block(F.col("blocks"), 1))), percent), "links")
-    parts = _parts(large, links)
+    parts = settle(_parts(large.withColumn("part", F.col("node")), links), "parts")
     one = parts.filter("node = part").drop("blocks").withColumn("side", F.lit(1))
     own = one.groupBy("group").agg(_blocks(cell_sets, cell_bytes).alias("blocks"))
     one = one.join(own, "group").withColumn("cell", F.xxhash64("group", block(F.col("blocks"), 2)))
-    links = settle(links.unionByName(_in_cells(one, percent)), "links")
-    parts = _parts(large, links)
+    more = settle(_in_cells(one, percent), "links")
+    parts = _parts(parts, more)
     by_size = Window.partitionBy("group").orderBy(F.desc("m"), "part")
     largest = parts.groupBy("group", "part").agg(F.count("*").alias("m")).withColumn("r", F.row_number().over(by_size)).filter("r = 1")
     parts = settle(parts.join(largest.select("group", F.col("part").alias("most")), "group").withColumn("rest", F.col("part") != F.col("most")), "parts")
@@ -112,11 +126,11 @@ def confirmed_links(sets: DataFrame, percent: int, cell_sets: int = CELL_SETS, c
     as_rest = dealt.filter("rest").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.col("other").alias("y"), F.lit(1).alias("side"))
     as_any = dealt.select("*", F.col("own").alias("x"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("y"), F.lit(0).alias("side"))
     meet = as_rest.unionByName(as_any).withColumn("cell", F.xxhash64("group", "x", "y"))
-    return small.unionByName(links).unionByName(_in_cells(meet, percent))
+    return small.unionByName(links).unionByName(more).unionByName(_in_cells(meet, percent))
 
 
 def _parts(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """(group, blocks, node, s, part): the least node that links join each set with."""
-    roots = connected_components(links).withColumnRenamed("root", "_root")
-    joined = rows.select("group", "blocks", "node", "s").join(roots, "node", "left")
-    return joined.select("group", "blocks", "node", "s", F.coalesce("_root", "node").alias("part"))
+    """(group, blocks, node, s, part) where parts that are linked with a lesser one take its name."""
+    renamed = links.select(F.col("a").alias("part"), F.col("b").alias("least"))
+    joined = rows.select("group", "blocks", "node", "s", "part").join(renamed, "part", "left")
+    return joined.select("group", "blocks", "node", "s", F.coalesce("least", "part").alias("part"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from caseloom.llm import simhash
 from caseloom.llm.base import add_columns, as_bytes, column, named, numbered, settle
 from caseloom.llm.fragments import mixed
-from caseloom.llm.groups import confirmed_links
+from caseloom.llm.groups import confirmed_links, stars_of
 from caseloom.llm.links import connected_components
 
 SEED = 42
@@ -143,7 +143,7 @@ def estimated_links(nodes: DataFrame, percent: int, block: int = BLOCK) -> DataF
     """Links (a, b) that join all sets that share a bucket and may be similar.
 
     A bucket of more than ``block`` sets is cut by size, so that only sizes that allow the similarity meet, and then
-    into cells of two blocks, every pair in one. A cell returns a forest.
+    into cells of two blocks, every pair in one. A cell returns stars: each set with the least one it is joined with.
     """
     # a smaller set can't be similar to any other one: n / (n + 1) is below the similarity
     posts = settle(buckets(nodes.filter(F.col("n") * (100 - percent) >= percent)), "buckets")
@@ -186,7 +186,7 @@ def estimated_links(nodes: DataFrame, percent: int, block: int = BLOCK) -> DataF
                         out.append((int(node[i]), int(node[i + d])))
             while not np.array_equal(up := root[root], root):
                 root = up
-        both = np.array(out, "i8").reshape(-1, 2)
+        both = np.array(stars_of(out), "i8").reshape(-1, 2)
         return pa.RecordBatch.from_pydict({"a": both[:, 0], "b": both[:, 1]})
 
     def run(batches):

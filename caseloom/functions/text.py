@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from caseloom.config import PREVIEW_CHARS
+from caseloom.functions import normal_form
 from caseloom.functions.words import (
     CODES,
     CONTRACTIONS,
@@ -43,18 +44,8 @@ def strip(text: ColumnOrName) -> Column:
 
 
 def nfkc(text: ColumnOrName) -> Column:
-    """Unicode NFKC. Pure-ASCII rows are returned as they are.
-
-    Spark ships ICU for its collations; calling its composer through
-    ``java_method`` keeps the row in the JVM, with no Arrow round trip.
-    """
-    def compose(t: Column) -> Column:
-        composed = F.call_function(
-            "java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True)
-        )
-        return F.when(t.rlike(r"[^\x00-\x7F]"), composed).otherwise(t)
-
-    return _bind(_col(text), compose)
+    """Unicode NFKC, deterministic, so that filters written after it reach the scan. Pure-ASCII rows are returned as they are."""
+    return _bind(_col(text), lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), normal_form.nfkc(t)).otherwise(t))
 
 
 def strip_codes(text: ColumnOrName) -> Column:

@@ -10,7 +10,7 @@ from caseloom.catalog.text_queries import tokens_sql, words_sql
 from caseloom.config import CHAR_SPEC, CLEAN_TEXT, WORD_SPEC, NgramSpec
 from caseloom.functions.text import classical_clean
 from caseloom.functions.words import STOPWORDS
-from caseloom.operators import features, weights
+from caseloom.operators import features, heavy, weights
 
 
 def clean_split(spark, sf) -> DataFrame:
@@ -65,6 +65,21 @@ def word_vocabulary(spark, sf):
     return features.word_vocabulary(train_rows(spark, sf)).select("term", "tf", "df")
 
 
+VOCABULARY_SQL = f"WITH {CLEAN_SPLIT_SQL}, {WORD_GRAMS_SQL}, {WORD_ROWS_SQL}, {terms_sql(WORD_SPEC, 'word', 'word_rows')} SELECT term, tf, df FROM word_terms"
+CHARACTERS_SQL = f"WITH {CLEAN_SPLIT_SQL}, {CHAR_GRAMS_SQL}, {terms_sql(CHAR_SPEC, 'char', 'windows')} SELECT term, tf, df FROM char_terms"
+
+
+@query("word_vocabulary_by_sketch", VOCABULARY_SQL)
+def word_vocabulary_by_sketch(spark, sf):
+    """The same vocabulary from tables of bounded size and, where they overflow, counts of candidates alone."""
+    return heavy.word_vocabulary(train_rows(spark, sf)).select("term", "tf", "df")
+
+
+@query("char_vocabulary_by_sketch", CHARACTERS_SQL)
+def char_vocabulary_by_sketch(spark, sf):
+    return heavy.char_vocabulary(train_rows(spark, sf)).select("term", "tf", "df")
+
+
 @query("char_vocabulary", f"WITH {CLEAN_SPLIT_SQL}, {CHAR_GRAMS_SQL}, {terms_sql(CHAR_SPEC, 'char', 'windows')} SELECT term, tf, df FROM char_terms")
 def char_vocabulary(spark, sf):
     """The most frequent character 3-5-grams within words of the train split."""

@@ -1,35 +1,32 @@
 """Multiclass models over a sparse feature column, with one interface.
 
-A trained model has ``labels`` (sorted) and ``probabilities(df)``, which adds an array in
-label order; ``predict`` adds the arg-max label and its confidence. Training is Spark ML's
-own distributed optimisation; only coefficients reach the driver.
+A trained model has ``labels`` (sorted), ``probabilities(df)``, which adds an array in label order, and ``info``, how its
+training ended; ``predict`` adds the arg-max label and its confidence. Training passes over rows packed in blocks
+(``blocks``, ``solvers``, ``boosting``); only what is as large as the model reaches the driver. Scores are worked out in Arrow
+batches against the broadcast model.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-)
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from caseloom.config import LABEL, SEED
-from caseloom.operators.labels import index_labels, label_space
+from pyspark.sql import types as T
+
+from caseloom.config import LABEL
+from caseloom.operators.blocks import Blocks, entries_of
+from caseloom.operators.boosting import Forest, boost
+from caseloom.operators.labels import label_space
+from caseloom.operators.network import Network, network_scores, train_network
+from caseloom.operators.solvers import sigmoid_fit, softmax_fit, svm_fit
 from caseloom.operators.splits import stratified_folds
-from caseloom.operators.weights import balanced_weights, with_balanced_weights
+from caseloom.operators.weights import class_weight
 
-FIT_THREADS = 4
+ROWS_AT_ONCE = 1024  # that a worker scores at a time
 
 
 def label_list(df: DataFrame, label: str = LABEL) -> list[str]:
@@ -46,19 +43,22 @@ def predict(df: DataFrame, labels: list[str], probability: str = "probability")
 
 
 class TrainedModel:
-    """Common part: prediction, and saving as a stage list plus a line of JSON."""
+    """Common part: prediction, and saving as a table of numbers plus a line of JSON."""
 
     kind = ""
     labels: list[str]
+    info: dict
 
     def probabilities(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError
 
-    def stages(self) -> list:
+    def numbers(self) -> dict[str, np.ndarray]:
+        """What the model consists of, by name."""
         raise NotImplementedError
 
-    def state(self) -> dict:
-        return {}
+    @classmethod
+    def restore(cls, labels: list[str], info: dict, numbers: dict[str, np.ndarray]):
+        raise NotImplementedError
 
     def predict(self, df: DataFrame) -> DataFrame:
         return predict(self.probabilities(df), self.labels)
@@ -68,250 +68,220 @@ class TrainedModel:
         raise TypeError(f"{self.kind} is not a linear model and has no coefficients per class")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        PipelineModel(stages=self.stages()).write().overwrite().save(f"{path}/stages")
-        line = json.dumps({"kind": self.kind, "labels": self.labels, "state": self.state()})
+        rows = [
+            (name, i, list(values.shape), row)
+            for name, values in self.numbers().items() for i, row in enumerate(values.astype("f8").reshape(len(values), -1))
+        ]
+        names, places, shapes, values = zip(*rows, strict=True) if rows else ((), (), (), ())
+        offsets = np.cumsum([0, *map(len, values)]).astype("i4")
+        flat = np.concatenate(values) if rows else np.zeros(0)
+        table = pa.table({
+            "name": pa.array(names, pa.string()), "row": pa.array(places, pa.int32()), "shape": pa.array(shapes, pa.list_(pa.int64())),
+            "v": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+        })
+        spark.createDataFrame(table).write.mode("overwrite").parquet(f"{path}/numbers")
+        line = json.dumps({"kind": self.kind, "labels": self.labels, "info": self.info})
         spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
 
 
+def add_scores(df: DataFrame, out: str, size: int, compute: Callable, shared: object, features: str = "features") -> DataFrame:
+    """``df`` with the array ``out`` of ``size`` numbers: ``compute(shared, starts, idx, val)`` gives [row, number] for some rows."""
+    given = df.sparkSession.sparkContext.broadcast(shared)  # as large as the model
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def scored(indices: pa.Array, values: pa.Array) -> pa.Array:
+        lengths = indices.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("i8")
+        idx, val = (a.flatten().to_numpy(zero_copy_only=False) for a in (indices, values))
+        ends = np.cumsum(lengths)
+        parts = []
+        for a in range(0, len(lengths), ROWS_AT_ONCE):
+            b = min(a + ROWS_AT_ONCE, len(lengths))
+            first = ends[a] - lengths[a]
+            parts.append(compute(given.value, ends[a:b] - lengths[a:b] - first, idx[first : ends[b - 1]], val[first : ends[b - 1]]))
+        flat = np.concatenate(parts).ravel() if parts else np.zeros(0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype="i4") * size), pa.array(flat, pa.float64()))
+
+    return df.withColumn(out, scored(*entries_of(features)))
+
+
+def _margins(shared: tuple, starts: np.ndarray, idx: np.ndarray, val: np.ndarray) -> np.ndarray:
+    w, b = shared
+    out = np.zeros((len(starts), w.shape[1]))
+    some = np.flatnonzero(np.diff(np.append(starts, len(idx))))
+    if len(some):
+        out[some] = np.add.reduceat(val[:, None] * w[idx], starts[some], axis=0)
+    return out + b
+
+
+def add_margins(df: DataFrame, parts: tuple[np.ndarray, np.ndarray], out: str) -> DataFrame:
+    """Add the array of margins under coefficients ``[class, feature]`` and intercepts ``[class]``."""
+    coefs, intercepts = parts
+    return add_scores(df, out, len(intercepts), _margins, (np.ascontiguousarray(coefs.T), intercepts))
+
+
+def shares(values: np.ndarray) -> np.ndarray:
+    """Rows divided by their sums; all-zero rows become uniform."""
+    total = values.sum(axis=-1, keepdims=True)
+    return np.where(total > 0, values / np.where(total > 0, total, 1.0), 1.0 / values.shape[-1])
+
+
+def _softmax(margins: np.ndarray) -> np.ndarray:
+    return shares(np.exp(margins - margins.max(axis=1, keepdims=True)))
+
+
+def _logistic(shared: tuple, *entries: np.ndarray) -> np.ndarray:
+    return _softmax(_margins(shared, *entries))
+
+
+def _calibrated(shared: tuple, *entries: np.ndarray) -> np.ndarray:
+    w, b, slopes, offsets = shared
+    z = slopes * _margins((w, b), *entries).reshape(-1, *slopes.shape) + offsets
+    return shares(1.0 / (1.0 + np.exp(np.minimum(z, 700.0)))).mean(axis=1)
+
+
+def boosted_margins(shared: tuple, starts: np.ndarray, idx: np.ndarray, val: np.ndarray) -> np.ndarray:
+    """Scores [row, class] of (forest, width, classes)."""
+    forest, width, k = shared
+    return forest.scores(starts, idx, val, len(starts), width, k)
+
+
+def _boosted(shared: tuple, *entries: np.ndarray) -> np.ndarray:
+    return _softmax(boosted_margins(shared, *entries))
+
+
 class LogisticModel(TrainedModel):
     kind = "logistic_regression"
 
-    def __init__(self, model, labels: list[str]):
-        self.model, self.labels = model, labels
+    def __init__(self, coefs: np.ndarray, intercepts: np.ndarray, labels: list[str], info: dict | None = None):
+        self.coefs, self.intercepts, self.labels, self.info = coefs, intercepts, labels, info or {}
 
     def probabilities(self, df: DataFrame) -> DataFrame:
-        model = self.model.copy().setRawPredictionCol("").setPredictionCol("").setProbabilityCol("_vector")
-        return model.transform(df).withColumn("probability", vector_to_array("_vector")).drop("_vector")
+        return add_scores(df, "probability", len(self.labels), _logistic, (np.ascontiguousarray(self.coefs.T), self.intercepts))
 
     def linear_parts(self):
-        return self.model.coefficientMatrix.toArray(), self.model.interceptVector.toArray()
+        return self.coefs, self.intercepts
 
-    def stages(self):
-        return [self.model]
+    def numbers(self):
+        return {"coefs": self.coefs, "intercepts": self.intercepts}
 
     @classmethod
-    def restore(cls, stages: list, labels: list[str], state: dict):
-        return cls(stages[0], labels)
+    def restore(cls, labels, info, numbers):
+        return cls(numbers["coefs"], numbers["intercepts"], labels, info)
 
 
 class CalibratedSvcModel(TrainedModel):
-    """Per fold a linear SVM per class, margins turned into probabilities, folds averaged."""
+    """Per fold a linear SVM per class, margins turned into probabilities, folds averaged. Arrays are [fold, class, ...]."""
 
     kind = "linear_svc"
 
-    def __init__(self, folds: list[list], slopes: list[list[float]], offsets: list[list[float]], labels: list[str]):
-        self.folds, self.slopes, self.offsets, self.labels = folds, slopes, offsets, labels
+    def __init__(self, coefs: np.ndarray, intercepts: np.ndarray, slopes: np.ndarray, offsets: np.ndarray, labels: list[str], info: dict | None = None):
+        self.coefs, self.intercepts, self.slopes, self.offsets = coefs, intercepts, slopes, offsets
+        self.labels, self.info = labels, info or {}
 
     def probabilities(self, df: DataFrame) -> DataFrame:
-        columns = df.columns
-        out, shares = df, []
-        for f, members in enumerate(self.folds):
-            out = add_margins(out, members, f"_m{f}")
-            raw = F.zip_with(
-                F.col(f"_m{f}"),
-                F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in zip(self.slopes[f], self.offsets[f])]),
-                lambda m, s: F.lit(1.0) / (F.lit(1.0) + F.exp(s["a"] * m + s["b"])),
-            )
-            out = out.withColumn(f"_r{f}", raw)
-            shares.append(normalised(F.col(f"_r{f}")))
-        mean = shares[0]
-        for share in shares[1:]:
-            mean = F.zip_with(mean, share, lambda a, b: a + b)
-        return out.select(*columns, F.transform(mean, lambda v: v / len(shares)).alias("probability"))
+        w = np.ascontiguousarray(self.coefs.reshape(-1, self.coefs.shape[2]).T)
+        return add_scores(df, "probability", len(self.labels), _calibrated, (w, self.intercepts.ravel(), self.slopes, self.offsets))
 
     def linear_parts(self):
-        coefs = [[m.coefficients.toArray() for m in members] for members in self.folds]
-        return np.mean(coefs, axis=0), np.mean([[m.intercept for m in members] for members in self.folds], axis=0)
+        return self.coefs.mean(axis=0), self.intercepts.mean(axis=0)
 
-    def stages(self):
-        return [m for members in self.folds for m in members]
-
-    def state(self):
-        return {"slopes": self.slopes, "offsets": self.offsets}
+    def numbers(self):
+        return {"coefs": self.coefs, "intercepts": self.intercepts, "slopes": self.slopes, "offsets": self.offsets}
 
     @classmethod
-    def restore(cls, stages: list, labels: list[str], state: dict):
-        k = len(labels)
-        return cls([stages[i:i + k] for i in range(0, len(stages), k)], state["slopes"], state["offsets"], labels)
+    def restore(cls, labels, info, numbers):
+        return cls(*(numbers[n] for n in ("coefs", "intercepts", "slopes", "offsets")), labels, info)
 
 
 class BoostedModel(TrainedModel):
-    """One boosted-tree classifier per class, shares normalised over the classes."""
+    """A tree for each class and round; a class's score is the sum of its leaves, probabilities are their softmax."""
 
     kind = "xgboost"
 
-    def __init__(self, members: list, labels: list[str]):
-        self.members, self.labels = members, labels
+    def __init__(self, forest: Forest, width: int, labels: list[str], info: dict | None = None):
+        self.forest, self.width, self.labels, self.info = forest, width, labels, info or {}
 
     def probabilities(self, df: DataFrame) -> DataFrame:
-        columns, out, raw = df.columns, df, []
-        for i, member in enumerate(self.members):
-            model = member.copy().setRawPredictionCol("").setPredictionCol("").setProbabilityCol(f"_p{i}")
-            out = model.transform(out)
-            raw.append(vector_to_array(f"_p{i}")[1])
-        return out.select(*columns, F.array(*raw).alias("_raw")).select(*columns, normalised(F.col("_raw")).alias("probability"))
+        return add_scores(df, "probability", len(self.labels), _boosted, (self.forest, self.width, len(self.labels)))
 
-    def stages(self):
-        return self.members
+    def numbers(self):
+        return {**{n: getattr(self.forest, n) for n in Forest.__dataclass_fields__}, "width": np.array([self.width])}
 
     @classmethod
-    def restore(cls, stages: list, labels: list[str], state: dict):
-        return cls(stages, labels)
-
-
-def normalised(values: Column) -> Column:
-    """Divide by the sum; all-zero arrays become uniform."""
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(values, lambda v: F.when(total > 0, v / total).otherwise(F.lit(1.0) / F.size(values)))
-
-
-def add_margins(df: DataFrame, members: list, out: str) -> DataFrame:
-    """Add the array of one-vs-rest margins in class order."""
-    columns = df.columns
-    for i, member in enumerate(members):
-        df = member.copy().setPredictionCol("").setRawPredictionCol(f"_raw{i}").transform(df)
-    margins = F.array(*[vector_to_array(f"_raw{i}")[1] for i in range(len(members))])
-    return df.select(*columns, margins.alias(out))
-
-
-def _with_index(train: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
-    space = label_space(train, label)
-    return index_labels(train, space, label, "_y"), label_list(train, label)
-
-
-def train_logistic(train: DataFrame, label: str = LABEL, max_iter: int = 1000, c: float = 1.0) -> LogisticModel:
-    """Multinomial, balanced weights. With those, weights sum to the number of rows."""
-    indexed, labels = _with_index(with_balanced_weights(train, label, "_w"), label)
-    data = indexed.select("features", "_y", "_w").persist()
-    n = data.count()
-    model = LogisticRegression(
-        featuresCol="features", labelCol="_y", weightCol="_w", family="multinomial",
-        maxIter=max_iter, regParam=1.0 / (c * n), standardization=False,
-    ).fit(data)
-    data.unpersist()
-    return LogisticModel(model, labels)
-
-
-def fit_one_vs_rest_svm(train: DataFrame, labels: list[str], label: str, max_iter: int, c: float) -> list:
-    """A linear SVM per class; rows of the class carry its balanced weight, others weight 1."""
-    weight = {r[label]: r["weight"] for r in balanced_weights(train, label).collect()}
-    data = train.select("features", F.col(label).alias("_l")).persist()
-    n = data.count()
-    sizes = {r["_l"]: r["count"] for r in data.groupBy("_l").count().collect()}
-
-    def fit(name: str):
-        own = F.col("_l") == name
-        w = float(weight[name])
-        rows = data.select("features", own.cast("double").alias("_y"), F.when(own, w).otherwise(1.0).alias("_w"))
-        total = n - sizes[name] + w * sizes[name]
-        return LinearSVC(
-            featuresCol="features", labelCol="_y", weightCol="_w", maxIter=max_iter,
-            regParam=1.0 / (c * total), standardization=False,
-        ).fit(rows)
-
-    with ThreadPool(FIT_THREADS) as pool:
-        members = pool.map(fit, labels)
-    data.unpersist()
-    return members
-
-
-def fit_sigmoids(margins: DataFrame, max_iter: int = 50, tolerance: float = 1e-7) -> DataFrame:
-    """Slope and offset per (fold, class) so that 1/(1+exp(a m + b)) fits the labels.
-
-    ``margins`` holds ``fold, cls, margin, hit``. Newton steps for all folds and classes
-    together: each step is one aggregation to five sums per (fold, class). Targets are
-    pulled in from 0 and 1 by the class sizes, as Platt proposed.
-    """
-    spark = margins.sparkSession
-    sizes = margins.groupBy("fold", "cls").agg(
-        F.sum("hit").cast("double").alias("pos"), (F.count(F.lit(1)) - F.sum("hit")).cast("double").alias("neg")
-    ).collect()
-    params = {
-        (r["fold"], r["cls"]): {
-            "a": 0.0, "b": float(np.log((r["neg"] + 1) / (r["pos"] + 1))),
-            "hi": (r["pos"] + 1) / (r["pos"] + 2), "lo": 1 / (r["neg"] + 2),
-            "da": 0.0, "db": 0.0, "loss": np.inf, "done": False,
-        }
-        for r in sizes
-    }
-    for _ in range(max_iter):
-        open_ = [(f, c, p["a"] + p["da"], p["b"] + p["db"], p["hi"], p["lo"]) for (f, c), p in params.items() if not p["done"]]
-        if not open_:
-            break
-        tried = spark.createDataFrame(open_, "fold int, cls int, a double, b double, hi double, lo double")
-        z = F.col("a") * F.col("margin") + F.col("b")
-        t = F.when(F.col("hit") == 1, F.col("hi")).otherwise(F.col("lo"))
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(z))
-        # log(1 + exp(z)) without overflow
-        softplus = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
-        sums = margins.join(F.broadcast(tried), ["fold", "cls"]).select(
-            "fold", "cls", "margin", (t - p).alias("g"), (p * (F.lit(1.0) - p)).alias("h"), (softplus - (F.lit(1.0) - t) * z).alias("l")
-        ).groupBy("fold", "cls").agg(
-            F.sum("l").alias("loss"), F.sum(F.col("g") * F.col("margin")).alias("ga"), F.sum("g").alias("gb"),
-            F.sum(F.col("h") * F.col("margin") ** 2).alias("haa"), F.sum(F.col("h") * F.col("margin")).alias("hab"),
-            F.sum("h").alias("hbb"),
-        )
-        for r in sums.collect():
-            p_ = params[(r["fold"], r["cls"])]
-            if r["loss"] > p_["loss"] + 1e-12 * abs(p_["loss"]):
-                p_["da"] /= 2
-                p_["db"] /= 2
-                p_["done"] = abs(p_["da"]) + abs(p_["db"]) < tolerance
-                continue
-            p_["a"] += p_["da"]
-            p_["b"] += p_["db"]
-            p_["loss"] = r["loss"]
-            hessian = np.array([[r["haa"] + 1e-12, r["hab"]], [r["hab"], r["hbb"] + 1e-12]])
-            p_["da"], p_["db"] = (float(v) for v in -np.linalg.solve(hessian, [r["ga"], r["gb"]]))
-            p_["done"] = abs(p_["da"]) + abs(p_["db"]) < tolerance
-    return spark.createDataFrame([(f, c, p["a"], p["b"]) for (f, c), p in params.items()], "fold int, cls int, a double, b double")
+    def restore(cls, labels, info, numbers):
+        kinds = {"feature": "i4", "absent_left": bool}
+        forest = Forest(*(numbers[n].astype(kinds.get(n, "f8")) for n in Forest.__dataclass_fields__))
+        return cls(forest, int(numbers["width"][0]), labels, info)
+
+
+def _indexed(train: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
+    labels = label_list(train, label)
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)) - 1
+    return train.withColumn("_y", place.cast("double")), labels
+
+
+def _class_counts(rows: DataFrame, k: int, fold: str | None = None, folds: int = 1) -> np.ndarray:
+    """Rows of each [fold, class]."""
+    out = np.zeros((folds, k))
+    keys = ["_y", fold] if fold else ["_y"]
+    for r in rows.groupBy(*keys).count().collect():  # a row for each class and fold
+        out[int(r[fold]) if fold else 0, int(r["_y"])] = r["count"]
+    return out
+
+
+def train_logistic(
+    train: DataFrame, label: str = LABEL, max_iter: int = 1000, c: float = 1.0, weights: str | None = "balanced"
+) -> LogisticModel:
+    """Multinomial with squared penalty; rows weigh by their class (``weights``: balanced, root or None)."""
+    indexed, labels = _indexed(train, label)
+    cost = class_weight(_class_counts(indexed, len(labels))[0], weights)
+    w = F.element_at(F.array(*[F.lit(float(v)) for v in cost]), F.col("_y").cast("int") + 1)
+    blocks = Blocks(indexed, {"y": F.col("_y"), "w": w})
+    fit = softmax_fit(blocks, len(labels), c, max_iter)
+    blocks.release()
+    return LogisticModel(np.ascontiguousarray(fit.weights[:-1].T), fit.weights[-1], labels, fit.info())
 
 
 def train_calibrated_svc(
-    train: DataFrame, label: str = LABEL, key: str = "odiNumber", folds: int = 3, max_iter: int = 100, c: float = 1.0
+    train: DataFrame, label: str = LABEL, key: str = "odiNumber", folds: int = 3, max_iter: int = 100, c: float = 1.0,
+    weights: str | None = "balanced",
 ) -> CalibratedSvcModel:
-    """Fit on all folds but one, calibrate on the one left out, for each fold."""
-    labels = label_list(train, label)
-    data = stratified_folds(train.select(key, label, "features"), label, key, folds).persist()
-    members, held_out = [], []
-    for f in range(folds):
-        fitted = fit_one_vs_rest_svm(data.filter(F.col("fold") != f), labels, label, max_iter, c)
-        members.append(fitted)
-        scored = add_margins(data.filter(F.col("fold") == f), fitted, "_m")
-        held_out.append(scored.select("fold", F.col(label).alias("_l"), F.posexplode("_m").alias("cls", "margin")))
-    long = held_out[0]
-    for part in held_out[1:]:
-        long = long.unionByName(part)
-    names = F.array(*[F.lit(x) for x in labels])
-    long = long.select("fold", "cls", "margin", (F.element_at(names, F.col("cls") + 1) == F.col("_l")).cast("int").alias("hit")).persist()
-    fitted = {(r["fold"], r["cls"]): (r["a"], r["b"]) for r in fit_sigmoids(long).collect()}
-    long.unpersist()
-    data.unpersist()
-    k = range(len(labels))
-    return CalibratedSvcModel(
-        members, [[fitted[(f, i)][0] for i in k] for f in range(folds)], [[fitted[(f, i)][1] for i in k] for f in range(folds)], labels
-    )
+    """Machines of all classes are fitted on all folds but one, and calibrated on that one, all folds together.
+
+    In a machine rows of its class carry the class's weight among the rows fitted, others weight 1.
+    """
+    indexed, labels = _indexed(train.select(key, label, "features"), label)
+    rows = stratified_folds(indexed, label, key, folds).persist()
+    k = len(labels)
+    counts = _class_counts(rows, k, "fold", folds)
+    inside = counts.sum(axis=0) - counts
+    classes, fold = np.tile(np.arange(k), folds), np.repeat(np.arange(folds), k)
+    hit_cost = c * np.concatenate([class_weight(n, weights) for n in inside])
+    blocks = Blocks(rows, {"y": F.col("_y"), "fold": F.col("fold")})
+    fit = svm_fit(blocks, classes, fold, hit_cost, np.full(folds * k, c), max_iter)
+    others = (counts.sum(axis=1, keepdims=True) - counts).ravel()
+    a, b, settled = sigmoid_fit(blocks, fit.weights, classes, fold, counts.ravel(), others)
+    blocks.release()
+    rows.unpersist()
+    coefs = np.ascontiguousarray(fit.weights[:-1].T).reshape(folds, k, -1)
+    info = {**fit.info(), "calibrated": settled}
+    return CalibratedSvcModel(coefs, fit.weights[-1].reshape(folds, k), a.reshape(folds, k), b.reshape(folds, k), labels, info)
 
 
 def train_boosted(
-    train: DataFrame, label: str = LABEL, max_iter: int = 80, depth: int = 5, step: float = 0.3, bins: int = 64
+    train: DataFrame, label: str = LABEL, max_iter: int = 80, depth: int = 5, step: float = 0.3, bins: int = 64, weights: str | None = "balanced"
 ) -> BoostedModel:
-    """Boosted trees, one per class, balanced row weights. Stands in for a native multiclass booster."""
-    labels = label_list(train, label)
-    data = with_balanced_weights(train, label, "_w").select("features", "_w", F.col(label).alias("_l")).persist()
-    data.count()
-
-    def fit(name: str):
-        rows = data.select("features", "_w", (F.col("_l") == name).cast("double").alias("_y"))
-        return GBTClassifier(
-            featuresCol="features", labelCol="_y", weightCol="_w", maxIter=max_iter, maxDepth=depth,
-            stepSize=step, maxBins=bins, seed=SEED,
-        ).fit(rows)
-
-    with ThreadPool(FIT_THREADS) as pool:
-        members = pool.map(fit, labels)
-    data.unpersist()
-    return BoostedModel(members, labels)
+    """``max_iter`` rounds of a tree for each class under a softmax objective; rows weigh by their class."""
+    indexed, labels = _indexed(train, label)
+    indexed = indexed.select("features", "_y").persist()
+    cost = class_weight(_class_counts(indexed, len(labels))[0], weights)
+    w = F.element_at(F.array(*[F.lit(float(v)) for v in cost]), F.col("_y").cast("int") + 1)
+    blocks = Blocks(indexed, {"y": F.col("_y"), "w": w})
+    forest = boost(indexed, blocks, len(labels), max_iter, depth, step, bins)
+    width = blocks.width
+    blocks.release()
+    indexed.unpersist()
+    return BoostedModel(forest, width, labels, {"trees": len(forest.feature), "splits": int((forest.feature >= 0).sum())})
 
 
 # The model names a job configuration may use.
@@ -326,8 +296,12 @@ _RESTORE = {m.kind: m for m in (LogisticModel, CalibratedSvcModel, BoostedModel)
 
 def load_model(spark: SparkSession, path: str) -> TrainedModel:
     saved = json.loads(spark.read.text(f"{path}/state").first()["value"])
-    stages = PipelineModel.load(f"{path}/stages").stages
-    return _RESTORE[saved["kind"]].restore(stages, saved["labels"], saved["state"])
+    numbers: dict[str, list] = {}
+    shapes = {}
+    for r in spark.read.parquet(f"{path}/numbers").orderBy("name", "row").collect():  # as large as the model
+        numbers.setdefault(r["name"], []).append(r["v"])
+        shapes[r["name"]] = r["shape"]
+    return _RESTORE[saved["kind"]].restore(saved["labels"], saved["info"], {n: np.array(v).reshape(shapes[n]) for n, v in numbers.items()})
 
 
 def coefficient_table(spark: SparkSession, model: TrainedModel) -> DataFrame:
@@ -349,24 +323,41 @@ def average_fold_coefficients(folds: DataFrame) -> DataFrame:
 
 
 def train_plain_svm(train: DataFrame, label: str, max_iter: int = 100, c: float = 1.0):
-    """The older setup: one-vs-rest linear SVM without calibration or weights."""
-    indexed, labels = _with_index(train, label)
-    data = indexed.select("features", F.col("_y").alias("label")).persist()
-    svm = LinearSVC(maxIter=max_iter, regParam=1.0 / (c * data.count()), standardization=False)
-    model = OneVsRest(classifier=svm, parallelism=FIT_THREADS).fit(data)
-    data.unpersist()
-    return model.models, labels
+    """The older setup: one-vs-rest linear SVM without calibration or weights. Returns (coefficients, intercepts) and labels."""
+    indexed, labels = _indexed(train, label)
+    k = len(labels)
+    blocks = Blocks(indexed, {"y": F.col("_y"), "fold": F.lit(-1)})
+    fit = svm_fit(blocks, np.arange(k), np.zeros(k), np.full(k, c), np.full(k, c), max_iter)
+    blocks.release()
+    return (np.ascontiguousarray(fit.weights[:-1].T), fit.weights[-1]), labels
 
 
-def train_dense_network(train: DataFrame, label: str, hidden: tuple[int, ...] = (512, 256), max_iter: int = 30):
-    """The older dense network on a small feature vector.
+class DenseModel(TrainedModel):
+    """The older dense network."""
 
-    The published five epochs are some hundred small steps; here a step is a pass over all rows.
-    """
-    indexed, labels = _with_index(train, label)
-    data = indexed.select("features", F.col("_y").alias("label")).persist()
-    width = data.select(F.coalesce(F.unwrap_udt("features")["size"], F.size(F.unwrap_udt("features")["values"])).alias("d")).first()["d"]
-    net = MultilayerPerceptronClassifier(layers=[width, *hidden, len(labels)], maxIter=max_iter, blockSize=64, seed=SEED)
-    model = net.fit(data)
-    data.unpersist()
-    return model, labels
+    kind = "dense_network"
+
+    def __init__(self, network: Network, labels: list[str], info: dict | None = None):
+        self.network, self.labels, self.info = network, labels, info or {}
+
+    def probabilities(self, df: DataFrame) -> DataFrame:
+        return add_scores(df, "probability", len(self.labels), network_scores, (self.network.shape, self.network.flat))
+
+    def numbers(self):
+        return {"shape": np.array([self.network.shape]), "weights": self.network.flat[None, :]}
+
+    @classmethod
+    def restore(cls, labels, info, numbers):
+        return cls(Network(tuple(int(x) for x in numbers["shape"][0]), numbers["weights"][0]), labels, info)
+
+
+_RESTORE[DenseModel.kind] = DenseModel
+
+
+def train_dense_network(
+    train: DataFrame, label: str = LABEL, hidden: tuple[int, ...] = (512, 256), epochs: int = 5,
+    dropout: tuple[float, ...] = (0.5, 0.3), rate: float = 1e-3,
+) -> DenseModel:
+    """The older network: rectified layers with dropout, trained in mini-batches for some epochs."""
+    labels = label_list(train, label)
+    return DenseModel(train_network(train, labels, label, hidden, epochs, dropout, rate), labels, {"epochs": epochs})

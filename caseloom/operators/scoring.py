@@ -12,13 +12,16 @@ from pyspark.sql import types as T
 from caseloom import config
 from caseloom.functions.records import confidence_band, leading_terms, ranked_labels, split_by_sign
 from caseloom.functions.text import classical_tokens
+from caseloom.operators.attribution import class_forest, contributions, paths_of
+from caseloom.operators.blocks import entries_of
 from caseloom.operators.features import explode_features, feature_names, feature_table
 from caseloom.operators.lemma import apply_lemmas
 from caseloom.operators.lookup import lookup
-from caseloom.operators.models import TrainedModel, coefficient_table
+from caseloom.operators.models import BoostedModel, TrainedModel, coefficient_table
 from caseloom.operators.splits import seeded_sample
 
 
+TREE_ROWS = 128  # explained at a time against all leaves of a class
 EXPLANATION_TYPE = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("contribution", T.DoubleType())]))
 EXPLANATION = EXPLANATION_TYPE.simpleString()
 
@@ -45,8 +48,11 @@ def with_explanation(df: DataFrame, featurizer: PipelineModel, model: TrainedMod
 
     Exploding and regrouping would shuffle every non-zero entry. The coefficients are as large as the model, so they are
     broadcast; only label, indices and values go to Python, in Arrow batches. Features of weight zero are no terms,
-    whether the vector is sparse or dense. Models without coefficients give null. ``features`` is dropped.
+    whether the vector is sparse or dense. Boosted trees are explained by ``attribution``. Other models without coefficients
+    give null. ``features`` is dropped.
     """
+    if isinstance(model, BoostedModel):
+        return _with_tree_explanation(df, featurizer, model, top)
     try:
         coefs, _ = model.linear_parts()
     except TypeError:
@@ -66,6 +72,38 @@ def with_explanation(df: DataFrame, featurizer: PipelineModel, model: TrainedMod
     return explained.withColumn("explanation_method", F.lit("coefficient"))
 
 
+def _with_tree_explanation(df: DataFrame, featurizer: PipelineModel, model: BoostedModel, top: int) -> DataFrame:
+    """Contributions of terms, present and absent, to the score of the predicted label; zeros are left out."""
+    k = len(model.labels)
+    forests = [class_forest(model.forest, c, k) for c in range(k)]
+    given = [(f, paths_of(f)) for f in forests]
+    shared = df.sparkSession.sparkContext.broadcast((given, feature_names(featurizer), model.labels, model.width))
+
+    @F.arrow_udf(EXPLANATION_TYPE)
+    def explain(label: pa.Array, indices: pa.Array, values: pa.Array) -> pa.Array:
+        forests, terms, labels, width = shared.value
+        place = {name: i for i, name in enumerate(labels)}
+        row_class = np.array([place[x] for x in label.to_pylist()], dtype=np.int64)
+        lengths = indices.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("i8")
+        starts = np.cumsum(lengths) - lengths
+        idx, x = (a.flatten().to_numpy(zero_copy_only=False) for a in (indices, values))
+        found: list[list[dict]] = [[] for _ in range(len(lengths))]
+        for c, (forest, paths) in enumerate(forests):
+            rows = np.flatnonzero(row_class == c)
+            for a in range(0, len(rows), TREE_ROWS):
+                part = rows[a : a + TREE_ROWS]
+                entries = np.concatenate([np.arange(starts[r], starts[r] + lengths[r]) for r in part])
+                cut = np.cumsum(lengths[part]) - lengths[part]
+                asked, phi = contributions(forest, paths, cut, idx[entries], x[entries], len(part), width)
+                order = np.argsort(-phi, axis=1, kind="stable")[:, :top]  # ties by index, which is by term
+                for i, r in enumerate(part.tolist()):
+                    found[r] = [{"term": terms[asked[j]], "contribution": round(float(phi[i, j]), 4) + 0.0} for j in order[i] if phi[i, j] != 0]
+        return pa.array(found, pa.list_(pa.struct([("term", pa.string()), ("contribution", pa.float64())])))
+
+    explained = df.withColumn("explanation", explain("predicted_label", *entries_of("features"))).drop("features")
+    return explained.withColumn("explanation_method", F.lit("tree paths"))
+
+
 def without_explanation(df: DataFrame) -> DataFrame:
     return df.withColumn("explanation", F.lit(None).cast(EXPLANATION)).withColumn("explanation_method", F.lit(None).cast("string"))
 

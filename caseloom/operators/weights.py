@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,3 +31,13 @@ def root_weights(df: DataFrame, labels: DataFrame, label: str = config.LABEL) ->
 def with_balanced_weights(df: DataFrame, label: str = config.LABEL, out: str = "weight") -> DataFrame:
     weights = balanced_weights(df, label).select(label, F.col("weight").alias(out))
     return lookup(df, weights, [label])
+
+
+def class_weight(counts: np.ndarray, scheme: str | None) -> np.ndarray:
+    """Weights of classes from their numbers of rows: balanced, root (square roots of balanced ones) or None; absent ones get 1."""
+    if scheme not in ("balanced", "root", None):
+        raise ValueError(f"no such class weights: {scheme}")
+    if scheme is None:
+        return np.ones(len(counts))
+    balanced = counts.sum() / ((counts > 0).sum() * np.maximum(counts, 1))
+    return np.where(counts > 0, balanced if scheme == "balanced" else np.sqrt(balanced), 1.0)

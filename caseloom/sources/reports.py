@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 from caseloom.functions.text import strip
 from caseloom.operators.quality import DataQualityError, assert_report_schema, missing_columns
 from caseloom.session import settle
+from caseloom.sources.records import csv_records
 
 # The columns of a report file in file order.
 REPORT_SCHEMA = T.StructType([
@@ -41,43 +41,31 @@ def csv_header(spark: SparkSession, path: str | list[str]) -> list[str]:
     return spark.read.options(**{k: v for k, v in CSV_OPTIONS.items() if k != "dateFormat"}).csv(path).columns
 
 
-def files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The files of a path, folder or glob, grouped by their header lines.
-
-    One pass over the files as plain text keeps the first line of each; what reaches the driver is a name and a header
-    per file. Column names hold no line breaks.
-    """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value"
-    )
-    heads = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("head")).collect()
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in sorted(heads):
-        groups.setdefault(tuple(next(csv.reader([row["head"].lstrip("\ufeff")]))), []).append(row["file"])
-    return groups
-
-
 def _schema_in_file_order(header) -> T.StructType:
     """The schema's types under the file's own order; unknown columns are read as strings."""
     known = {f.name: f for f in REPORT_SCHEMA.fields}
     return T.StructType([known.get(name, T.StructField(name, T.StringType())) for name in header])
 
 
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
 def _read_by_header(spark: SparkSession, path: str, mode: str, damaged: bool = False, validate: bool = False) -> DataFrame:
-    """All files, each group under the schema of its own header, put together by column name."""
-    groups = files_by_header(spark, path)
-    if not groups:
+    """All files, each under the schema of its own header, put together by column name."""
+    found = csv_records(spark, path)
+    if not found.headers:
         raise DataQualityError("there are no reports to work on")
     parts = []
-    for header, files in groups.items():
+    for i, (header, file) in enumerate(found.headers):
         if validate and missing_columns(list(header)):
-            raise DataQualityError(f"{files[0]} lacks columns that a report table must have: {missing_columns(list(header))}")
+            raise DataQualityError(f"{file} lacks columns that a report table must have: {missing_columns(list(header))}")
         schema = _schema_in_file_order(header)
-        reader = spark.read.options(**CSV_OPTIONS).option("mode", mode)
+        options = {k: v for k, v in CSV_OPTIONS.items() if k not in ("header", "multiLine")} | {"mode": mode}
         if damaged:
             schema = schema.add(DAMAGED, T.StringType())
-            reader = reader.option("columnNameOfCorruptRecord", DAMAGED)
-        parts.append(reader.schema(schema).csv(files))
+            options["columnNameOfCorruptRecord"] = DAMAGED
+        parts.append(found.records.filter(F.col("header") == i).select(F.from_csv("record", _ddl(schema), options).alias("r")).select("r.*"))
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
@@ -85,8 +73,8 @@ def load_reports(spark: SparkSession, path: str, validate: bool = True, mode: st
     """Read report CSV files with types. ``validate`` runs the schema, row and key checks.
 
     Types follow the names in the header of each file, so files with columns in another order, or in different orders,
-    are read correctly. A validated table is parsed once and written to the shared folder; the checks and all
-    later steps read that. Embedded newlines force one task per file: give exports a moderate file size.
+    are read correctly. A file with line breaks in its fields is read in many tasks (``csv_records``). A validated table is
+    parsed once and written to the shared folder; the checks and all later steps read that.
     """
     df = _read_by_header(spark, path, mode, validate=validate)
     if validate:

@@ -12,6 +12,7 @@ from caseloom.functions.text import preview
 from caseloom.operators.evaluation import classification_report, confusion_counts, report_text
 from caseloom.operators.errors import confused_pairs
 from caseloom.operators.models import TrainedModel, load_model
+from caseloom.sources.markers import Lease, create_once, names_in, newest_number, read_marker
 
 SPLITS = ("train", "val", "test")
 
@@ -98,42 +99,65 @@ def should_promote(full_run: bool, force: bool = False) -> bool:
     return full_run or force
 
 
+POINTER = "run_id string, home string, featurizer string, model string, has_lemmas boolean, fence long, promoted_at timestamp"
+
+
 def promote(
     spark: SparkSession, path: str, run_id: str, featurizer: PipelineModel, featurizer_name: str, model: TrainedModel,
-    lemmas: DataFrame | None = None, full_run: bool = True, force: bool = False,
+    lemmas: DataFrame | None = None, full_run: bool = True, force: bool = False, lease: Lease | None = None,
 ) -> bool:
     """Save model, featurizer and lemma table under the run, then append the pointer row.
 
-    The pointer comes last and is only ever appended to, so a reader sees the old model or
-    the new one, never half of either.
+    The pointer comes last and is only ever appended to, so a reader sees the old model or the new one, never half of
+    either. A job whose lease has run out or was followed by another does not promote; the row carries the lease's
+    number, and a later number wins whenever its row is written.
     """
-    if not should_promote(full_run, force):
+    if not should_promote(full_run, force) or lease is not None and not lease.holds(spark):
         return False
     home = f"{path}/models/{run_id}"
     model.save(spark, f"{home}/model")
     featurizer.write().overwrite().save(f"{home}/featurizer")
     if lemmas is not None:
         lemmas.write.mode("overwrite").parquet(f"{home}/lemmas")
-    row = [(run_id, home, featurizer_name, model.kind, lemmas is not None)]
-    pointer = spark.createDataFrame(row, "run_id string, home string, featurizer string, model string, has_lemmas boolean")
+    if lease is not None and not lease.holds(spark):
+        return False
+    fence = newest_number(spark, f"{path}/retrain_lock") if lease is None else lease.number
+    row = [(run_id, home, featurizer_name, model.kind, lemmas is not None, fence)]
+    pointer = spark.createDataFrame(row, ", ".join(POINTER.split(", ")[:-1]))
     pointer.withColumn("promoted_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/current_model")
     return True
 
 
 def current_model(spark: SparkSession, path: str) -> dict:
-    """The pointer row promoted last."""
-    table = spark.read.parquet(f"{path}/current_model")
-    row = table.agg(F.max_by(F.struct("*"), F.struct("promoted_at", "run_id")).alias("r")).first()["r"]
-    return row.asDict()
+    """The pointer row of the highest fence, and of these the one promoted last."""
+    spark.read.parquet(f"{path}/current_model")  # raises if nothing was promoted
+    table = spark.read.schema(POINTER).parquet(f"{path}/current_model")
+    order = F.struct(F.coalesce("fence", F.lit(0)).alias("fence"), "promoted_at", "run_id")
+    return table.agg(F.max_by(F.struct("*"), order).alias("r")).first()["r"].asDict()
+
+
+def load_run(spark: SparkSession, path: str, run_id: str) -> tuple[PipelineModel, TrainedModel, DataFrame | None]:
+    """Featurizer, model and lemma table of a promoted run."""
+    row = spark.read.schema(POINTER).parquet(f"{path}/current_model").filter(F.col("run_id") == run_id).first()
+    if row is None:
+        raise ValueError(f"run {run_id!r} was never promoted")
+    lemmas = spark.read.parquet(f"{row['home']}/lemmas") if row["has_lemmas"] else None
+    return PipelineModel.load(f"{row['home']}/featurizer"), load_model(spark, f"{row['home']}/model"), lemmas
 
 
 def load_serving(spark: SparkSession, path: str, backend: str = "baseline") -> tuple[PipelineModel, TrainedModel, DataFrame | None]:
     """Featurizer, model and lemma table now in use. Only the trained backend is built in."""
     if backend != "baseline":
         raise ValueError(f"unknown scoring backend: {backend!r}")
-    row = current_model(spark, path)
-    lemmas = spark.read.parquet(f"{row['home']}/lemmas") if row["has_lemmas"] else None
-    return PipelineModel.load(f"{row['home']}/featurizer"), load_model(spark, f"{row['home']}/model"), lemmas
+    return load_run(spark, path, current_model(spark, path)["run_id"])
+
+
+def pinned_run(spark: SparkSession, path: str, pins: str, epoch: int) -> str:
+    """The run that an epoch of a stream is scored with: the one in use when it was first asked for, also for a replay."""
+    place = f"{pins}/{epoch:012d}"
+    if f"{epoch:012d}" not in names_in(spark, pins):
+        create_once(spark, place, current_model(spark, path)["run_id"])
+    return read_marker(spark, place)
 
 
 LOG_SCHEMA = (

@@ -27,7 +27,7 @@ from caseloom.catalog.base import (
     ws,
 )
 from caseloom.functions import records
-from caseloom.operators import cleaning, labels, quality, splits
+from caseloom.operators import asof, cleaning, labels, quality, splits
 from caseloom.operators.quality import REQUIRED_COLUMNS
 from caseloom.session import work_path
 from caseloom.sources import reports as report_files
@@ -74,6 +74,20 @@ def csv_typed_scan(spark, sf):
     return report_files.load_reports(spark, path)
 
 
+@query("csv_split_scan", TYPED_SQL)
+def csv_split_scan(spark, sf):
+    """One file with line breaks in its fields, read in byte blocks by several tasks."""
+    path, blocks = work_path(spark, "one-csv"), "spark.sql.files.maxPartitionBytes"
+    report_files.write_reports_csv(_typed(spark, sf).coalesce(1), path)
+    size = spark.read.format("binaryFile").load(f"{path}/*.csv").agg(F.max("length")).first()[0]
+    before = spark.conf.get(blocks)
+    spark.conf.set(blocks, str(max(size // 8, 1)))
+    try:
+        return report_files.load_reports(spark, path)
+    finally:
+        spark.conf.set(blocks, before)
+
+
 @query("csv_mixed_headers", TYPED_SQL)
 def csv_mixed_headers(spark, sf):
     """Files with columns in different orders in one folder, each read by its own header."""
@@ -517,3 +531,25 @@ SELECT odiNumber, primary_component, (CASE WHEN rn <= n // 3 THEN 0 WHEN rn <= 2
 def stratified_folds(spark, sf):
     d = splits.stratified_folds(labelled(spark, sf), "primary_component", "odiNumber")
     return d.select("odiNumber", "primary_component", F.col("fold").cast("long").alias("fold"))
+
+
+# A third of the reports share one user, whose rows are many enough here to be cut into buckets.
+HOT_ROWS = 200
+FILED_SQL = "SELECT doc_id AS odiNumber, CASE WHEN doc_id % 3 = 0 THEN 8 ELSE doc_id % 160 END AS user_id, (DATE '2023-12-30' + (doc_id % 35)::INT)::TIMESTAMP AS filed FROM documents"
+
+
+@query(
+    "events_before_filing",
+    f"""WITH filed AS ({FILED_SQL}), before AS (
+  SELECT f.odiNumber, count(*) AS n, max(struct_pack(ts := e.ts, id := e.event_id)) AS last FROM filed f JOIN events e ON e.user_id = f.user_id AND e.ts < f.filed GROUP BY f.odiNumber)
+SELECT f.odiNumber, f.user_id, e.event_id, e.event_type, coalesce(b.n, 0) AS n_before
+FROM filed f LEFT JOIN before b USING (odiNumber) LEFT JOIN events e ON e.event_id = b.last.id""",
+)
+def events_before_filing(spark, sf):
+    """The last event of a report's user strictly before the filing date, and how many there were; the hot user is split."""
+    docs = table(spark, sf, "documents")
+    user = F.when(F.col("doc_id") % 3 == 0, F.lit(8)).otherwise(F.col("doc_id") % 160).cast("long")
+    filed = F.date_add(F.lit("2023-12-30").cast("date"), (F.col("doc_id") % 35).cast("int"))
+    rows = docs.select(F.col("doc_id").alias("odiNumber"), user.alias("user_id"), filed.cast("timestamp").alias("filed"))
+    found = asof.events_before(rows, table(spark, sf, "events"), "user_id", "filed", "ts", ["event_id", "event_type"], "event_id", split_rows=HOT_ROWS)
+    return found.drop("filed")

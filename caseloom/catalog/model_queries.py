@@ -6,7 +6,8 @@ scored once, probabilities sum to one, explanations add up to the margin.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,17 +16,15 @@ from caseloom.catalog.feature_queries import clean_split, train_rows
 from caseloom.catalog.text_queries import _tokens
 from caseloom.config import CLEAN_TEXT, LABEL
 from caseloom.functions.text import classical_clean
-from caseloom.operators import features, models, scoring
+from caseloom.operators import attribution, features, models, quality, scoring
 from caseloom.operators.lemma import lemma_table, token_counts
 from caseloom.plans import dataset, scoring as scoring_plan, training
 from caseloom.session import work_path
-from caseloom.sources import tables
+from caseloom.sources import markers, tables
 from caseloom.streaming import predlog
 
-# Features, iterations, tree depth and layers are the defaults of the jobs. The one bound is on boosting rounds: a round is
-# a handful of Spark jobs per class, and the default of 80 takes many minutes however small the table is.
-ROUNDS = 10
-OPTIONS = {"linear_svc": {"key": "odiNumber"}, "xgboost": {"max_iter": ROUNDS}}
+# Features, iterations, rounds, tree depth and layers are the defaults of the jobs.
+OPTIONS = {"linear_svc": {"key": "odiNumber"}}
 MARGIN = 0.1  # above the share of the commonest label of the same split
 
 _MODELS: dict[tuple, tuple] = {}
@@ -124,10 +123,7 @@ def fold_average_coefficients(spark, sf):
     """Averaging the folds' own coefficients gives the coefficients that explanations use."""
     model = trained(spark, sf, "linear_svc")
     width = len(features.feature_names(featurizer(spark, sf)))
-    rows = [
-        (fold, label, member.coefficients.toArray().tolist())
-        for fold, members in enumerate(model.folds) for label, member in zip(model.labels, members)
-    ]
+    rows = [(fold, label, coefs.tolist()) for fold, parts in enumerate(model.coefs) for label, coefs in zip(model.labels, parts)]
     folds = spark.createDataFrame(rows, "fold int, label string, c array<double>").select("fold", "label", F.posexplode("c").alias("idx", "coef"))
     averaged = models.average_fold_coefficients(folds.withColumn("idx", F.col("idx").cast("long"))).withColumnRenamed("coef", "averaged")
     both = averaged.join(models.coefficient_table(spark, model), ["label", "idx"], "left")
@@ -143,8 +139,8 @@ def explanations_add_up(spark, sf):
     _, intercepts = model.linear_parts()
     names = F.array(*[F.lit(x) for x in model.labels])
     place = F.array_position(names, F.col("predicted_label")).cast("int")
-    margins = model.model.copy().setPredictionCol("").setProbabilityCol("").setRawPredictionCol("_raw").transform(rows).select(
-        "odiNumber", (F.element_at(vector_to_array("_raw"), place) - F.element_at(F.array(*[F.lit(float(b)) for b in intercepts]), place)).alias("margin")
+    margins = models.add_margins(rows, model.linear_parts(), "_raw").select(
+        "odiNumber", (F.element_at("_raw", place) - F.element_at(F.array(*[F.lit(float(b)) for b in intercepts]), place)).alias("margin")
     )
     sums = scoring.term_contributions(rows, featurizer(spark, sf), model, "odiNumber").groupBy("odiNumber").agg(F.sum("contribution").alias("total"))
     both = margins.join(sums, "odiNumber", "left")
@@ -167,6 +163,27 @@ def scored_records(spark, sf):
     )
 
 
+@query("tree_explanations_add_up", f"WITH {SPLIT_SQL} SELECT split, count(*) AS n_rows, count(*) AS n_add_up, true AS terms_ordered FROM split_reports GROUP BY split")
+def tree_explanations_add_up(spark, sf):
+    """Contributions of terms to a boosted score, all of them, add up to it with the score of no term; records hold the largest."""
+    model, fitted = trained(spark, sf, "xgboost"), featurizer(spark, sf)
+    rows = model.predict(featurized(spark, sf))
+    k = len(model.labels)
+    bases = [attribution.paths_of(attribution.class_forest(model.forest, c, k)).base for c in range(k)]
+    names = F.array(*[F.lit(x) for x in model.labels])
+    place = F.array_position(names, F.col("predicted_label")).cast("int")
+    margins = models.add_scores(rows, "_m", k, models.boosted_margins, (model.forest, model.width, k)).select(
+        "odiNumber", "split", (F.element_at("_m", place) - F.element_at(F.array(*[F.lit(float(b)) for b in bases]), place)).alias("margin")
+    )
+    every = scoring.with_explanation(rows, fitted, model, top=1 << 30).select("odiNumber", F.transform("explanation", lambda t: t["contribution"]).alias("c"))
+    total = F.aggregate("c", F.lit(0.0), lambda a, v: a + v)
+    # contributions are rounded to four digits
+    close = F.abs(total - F.col("margin")) <= 1e-4 * (F.size("c") + 1)
+    return margins.join(every, "odiNumber").groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(close).alias("n_add_up"), F.every(F.col("c") == F.sort_array("c", asc=False)).alias("terms_ordered")
+    )
+
+
 @query("scored_explanations", f"WITH {SPLIT_SQL} SELECT odiNumber, true AS leading_terms, true AS none_lost FROM split_reports")
 def scored_explanations(spark, sf):
     """The terms of a record are the ten largest contributions; supporting and opposing ones together are all of them."""
@@ -271,9 +288,8 @@ def dense_network_scored(spark, sf):
     """The older dense network with its own layers, on the older feature block."""
     old = features.fit_legacy_tfidf(train_rows(spark, sf))
     rows = old.transform(clean_split(spark, sf)).select("odiNumber", LABEL, "split", "features")
-    net, labels = models.train_dense_network(rows.filter("split = 'train'"), LABEL)
-    scored = net.transform(rows.filter("split = 'test'")).withColumn("probability", vector_to_array("probability"))
-    return tested(spark, sf, models.predict(scored.drop("prediction", "rawPrediction"), labels))
+    net = models.train_dense_network(rows.filter("split = 'train'"))
+    return tested(spark, sf, net.predict(rows.filter("split = 'test'")))
 
 
 def trained_job(spark, sf) -> str:
@@ -283,18 +299,92 @@ def trained_job(spark, sf) -> str:
         out = work_path(spark, "trained")
         tables.write_splits(split_reports(spark, sf).withColumn(CLEAN_TEXT, classical_clean("summary")), f"{out}/splits")
         options = {"featurizers": {"word_tfidf": features.fit_word_tfidf}, "models": {"logistic_regression": models.train_logistic}}
-        states = [training.run_retrain(spark, f"{out}/splits", out, **options)]
-        spark.createDataFrame([("other", "started")], "job string, event string").withColumn("at", F.current_timestamp()).write.mode("append").json(f"{out}/retrain_log")
-        states.append(training.run_retrain(spark, f"{out}/splits", out, **options))
+        with ThreadPool(2) as pool:
+            states = pool.map(lambda _: training.run_retrain(spark, f"{out}/splits", out, **options), range(2))
         _MODELS[place] = (out, states)
     return _MODELS[place]
 
 
-@query("retrain_guard", "SELECT unnest([1, 2]) AS call, unnest(['started', 'already_running']) AS state FROM (SELECT count(*) FROM documents)")
+@query("retrain_guard", "SELECT unnest(['started', 'already_running']) AS state, 1::BIGINT AS n_calls FROM (SELECT count(*) FROM documents)")
 def retrain_guard(spark, sf):
-    """A retrain starts, and another one does not start beside a job that has not ended."""
+    """Of two retrains started at once exactly one runs."""
     _, states = trained_job(spark, sf)
-    return spark.createDataFrame(list(enumerate(states, 1)), "call int, state string")
+    return spark.createDataFrame([(s,) for s in states], "state string").groupBy("state").agg(F.count(F.lit(1)).alias("n_calls"))
+
+
+BATCH_SQL = f"""SELECT batch, count(doc_id) AS n_rows, count(doc_id) > 0 AS accepted
+FROM (SELECT unnest(['src0', 'src1', 'src2', 'none']) AS batch) b LEFT JOIN documents d ON d.source = b.batch GROUP BY batch"""
+
+
+@query("batches_checked", BATCH_SQL)
+def batches_checked(spark, sf):
+    """A batch of texts to score is taken if it has a row; an empty one is refused before any model is read."""
+    rows = []
+    for batch in ("src0", "src1", "src2", "none"):
+        texts = reports(spark, sf).filter(F.col("source") == batch)
+        try:
+            quality.assert_not_empty(texts)
+            rows.append((batch, texts.count(), True))
+        except quality.DataQualityError:
+            rows.append((batch, 0, False))
+    return spark.createDataFrame(rows, "batch string, n_rows long, accepted boolean")
+
+
+@query("backend_chosen", f"SELECT unnest(['baseline', 'transformer']) AS backend, unnest([count(*), 0]) AS n_scored FROM documents WHERE length(trim(text, {ws()})) BETWEEN 5 AND 10000")
+def backend_chosen(spark, sf):
+    """Scoring under a backend's name: the trained one scores and logs its name, one that is not built in is refused."""
+    path = work_path(spark, "backends")
+    tables.promote(spark, path, "1", featurizer(spark, sf), "word_tfidf", trained(spark, sf, "logistic_regression"))
+    found = []
+    for backend in ("baseline", "transformer"):
+        try:
+            scored, _ = scoring_plan.run_scoring(spark, reports(spark, sf), path, f"{path}/log", explain=False, backend=backend)
+            found.append((backend, scored.filter(F.col("model_backend") == backend).count()))
+        except ValueError:
+            found.append((backend, 0))
+    return spark.createDataFrame(found, "backend string, n_scored long")
+
+
+@query("late_job_not_promoted", "SELECT unnest(['late', 'in time']) AS job, unnest([false, true]) AS promoted, '2' AS serving FROM (SELECT count(*) FROM documents)")
+def late_job_not_promoted(spark, sf):
+    """A job whose lease ran out and was taken by another does not promote its model; the other one does."""
+    path = work_path(spark, "fenced")
+    fitted, model = featurizer(spark, sf), trained(spark, sf, "logistic_regression")
+    late = markers.take_lease(spark, f"{path}/retrain_lock", "late", hours=0.0)
+    in_time = markers.take_lease(spark, f"{path}/retrain_lock", "in time")
+    done = [(lease.job, tables.promote(spark, path, str(lease.number), fitted, "word_tfidf", model, lease=lease)) for lease in (in_time, late)]
+    serving = tables.current_model(spark, path)["run_id"]
+    return spark.createDataFrame([(job, promoted, serving) for job, promoted in done], "job string, promoted boolean, serving string")
+
+
+SWAP_SQL = f"""SELECT doc_id % 2 AS epoch, (doc_id % 2 + 1)::VARCHAR AS run_id, count(*) AS n_logged, count(*) AS n_as_batch
+FROM documents WHERE length(trim(text, {ws()})) BETWEEN 5 AND 10000 GROUP BY 1, 2"""
+
+
+@query("stream_swaps_models", SWAP_SQL)
+def stream_swaps_models(spark, sf):
+    """Another model is promoted between two micro-batches; each batch is logged as a table scored with its own model."""
+    path = work_path(spark, "swap")
+    fitted, kinds = featurizer(spark, sf), ("logistic_regression", "linear_svc")
+    docs = table(spark, sf, "documents")
+    for epoch, kind in enumerate(kinds):
+        docs.filter(F.col("doc_id") % 2 == epoch).coalesce(1).write.parquet(f"{path}/in/part={epoch}")
+        tables.promote(spark, path, str(epoch + 1), fitted, "word_tfidf", trained(spark, sf, kind))
+        arriving = predlog.file_stream(spark, f"{path}/in/*", docs.schema)
+        texts = arriving.select(F.col("doc_id").alias("odiNumber"), F.col("text").alias("summary"))
+        predlog.drain(lambda: scoring_plan.score_arriving_in_use(texts, path, f"{path}/log", f"{path}/state"))
+    names = ["epoch", "text_preview", "predicted_label", "confidence"]
+    log = spark.read.parquet(f"{path}/log").groupBy(*names).agg(F.count(F.lit(1)).alias("n_logged"), F.max("run_id").alias("run_id"))
+    batches = []
+    for epoch, kind in enumerate(kinds):
+        part = reports(spark, sf).filter(F.col("odiNumber") % 2 == epoch)
+        scored, _ = scoring_plan.score_rows(part, fitted, trained(spark, sf, kind), None, explain=False)
+        batches.append(tables.log_rows(scored).withColumn("epoch", F.lit(epoch)))
+    batch = batches[0].unionByName(batches[1]).groupBy(*names).agg(F.count(F.lit(1)).alias("n_batch"))
+    both = log.join(batch, names, "left")
+    return both.groupBy(F.col("epoch").cast("long").alias("epoch"), "run_id").agg(
+        F.sum("n_logged").alias("n_logged"), F.sum(F.least("n_logged", F.coalesce("n_batch", F.lit(0)))).alias("n_as_batch")
+    )
 
 
 @query(

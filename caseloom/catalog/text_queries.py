@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caseloom.catalog.base import REPORTS_SQL, documents, once, query, reports, table
 from caseloom.functions import records, text
 from caseloom.functions.words import CODES, CONTRACTIONS, NOUN_ENDINGS, STOPWORDS, STOPWORDS_KEEPING_NEGATION, WHITESPACE
-from caseloom.operators.lemma import apply_lemmas, lemma_table, token_counts
+from caseloom.operators.lemma import apply_lemmas, legacy_lemmatised, lemma_table, token_counts
 from caseloom.session import spread
 
 # The given texts hold no codes or contractions, so both are added around each text.
@@ -199,6 +199,24 @@ def text_lemmatised(spark, sf):
     return done.select("odiNumber", F.array_join("tokens", " ").alias("clean"))
 
 
+LEGACY_LINES = (
+    f"SELECT odiNumber, [w for w in string_split_regex(regexp_replace(lower(summary), '[^a-z{SPACE_CLASS}]', '', 'g'), '{SPACES}') "
+    f"if w <> '' AND w NOT IN {words_sql(STOPWORDS)}] AS tokens FROM reports"
+)
+LEGACY_LEMMA_SQL = LEMMA_SQL.replace(f"SELECT odiNumber, {tokens_sql('summary')} AS tokens FROM reports", LEGACY_LINES)
+
+
+@query(
+    "text_legacy_lemmatised",
+    f"WITH {LEGACY_LEMMA_SQL}, spots AS (SELECT odiNumber, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM lines) "
+    "SELECT l.odiNumber, coalesce(x.clean, '') AS clean FROM lines l LEFT JOIN (SELECT s.odiNumber, "
+    "string_agg(coalesce(m.lemma, s.token), ' ' ORDER BY s.pos) AS clean FROM spots s LEFT JOIN lemmas m USING (token) GROUP BY s.odiNumber) x USING (odiNumber)",
+)
+def text_legacy_lemmatised(spark, sf):
+    """The older cleaner with its last step, lemmas of its own tokens."""
+    return legacy_lemmatised(spread(reports(spark, sf), "odiNumber").select("odiNumber", "summary"), "summary", "clean").select("odiNumber", "clean")
+
+
 @query(
     "text_lemmatised_by_join",
     f"WITH {LEMMA_SQL}, spots AS (SELECT odiNumber, unnest(tokens) AS token FROM lines) "

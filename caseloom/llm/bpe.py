@@ -7,8 +7,13 @@ one gadget per merge, in rank order. For a merge ``u v -> uv`` the gadget
 * cuts the arc ``v`` out of the state reached by ``u``, since ``u v`` is now written ``uv``.
 
 A state is thus named by the token that leads to it, and kept as what it was copied from, when, and which arcs it lost
-later; ``arc`` reads the arc of a state out of these three tables. Since exactly one accepting path spells each string,
-encoding a pre-split word walks the tables once from left to right. Decoding emits the label of each arc.
+later; ``arc`` reads the arc of a state out of these three tables.
+
+Exactly one accepting path spells each string, and its beginning spells each prefix. So a machine that reads bytes is
+deterministic: its state tells the tokens that can end at the present byte (the node of a suffix automaton of all labels) and the last
+token of the path that spells the bytes so far, which is the only one of them with an arc from the last token of the
+prefix before it. States and transitions are written to a table when they are first met; encoding a pre-split word
+is one table look-up for each byte, and its path is read off the last tokens backwards. Decoding emits the label of each arc.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import uuid
 
 import numpy as np
@@ -29,11 +35,10 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 # Fixed value: the White_Space characters. A run of others, with a space before it, is split on its own.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNKS = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-KNOWN_WORDS = 1 << 17  # encoded words a worker remembers, twice: the older half goes when the newer is full
+KNOWN_WORDS = 1 << 18  # encoded words a worker remembers, twice: the older half goes when the newer is full
 KNOWN_ARCS = 1 << 18
-KNOWN_STARTS = 1 << 17
-LONGEST_KNOWN = 64
-LONGEST_LABEL = 256  # bytes looked at for one token; longer labels are refused
+MAX_STATES = 1 << 18  # of a worker's table; beyond, it starts anew, which changes nothing
+LONGEST_KNOWN = 64  # letters; longer words are read without writing states
 
 
 def byte_letters() -> dict[str, int]:
@@ -57,13 +62,14 @@ class MergeAutomaton:
         self.cuts: dict[tuple[int, int], int] = {}  # (state, arc) and when the arc is cut
         for time, (u, v) in enumerate(merges, 1):
             self._gadget(ids[u], ids[v], ids[u + v], time)
-        if max(map(len, labels.values())) > LONGEST_LABEL:
-            raise ValueError("a token is too long")
-        self.trie: dict[int, int] = {}
-        self.ends: dict[int, int] = {}
-        self.shorter: dict[int, int] = {}  # the longest token that begins a token
-        for token in sorted(self.made, key=lambda t: len(labels[t])):
-            self._insert(labels[token], token)
+        self.trie: dict[int, int] = {}  # of all labels: the child of a node by a byte
+        ends: dict[int, int] = {}
+        for token in self.made:
+            node = 0
+            for byte in labels[token]:
+                node = self.trie.setdefault(node << 8 | byte, len(self.trie) + 1)
+            ends[node] = token
+        self.fail, self.ending, self.shorter = self._suffixes(ends)
 
     def _gadget(self, u: int, v: int, uv: int, time: int) -> None:
         if uv in self.made:
@@ -72,13 +78,28 @@ class MergeAutomaton:
         self.starts[uv], self.copied[uv] = u, v
         self.cuts[u, v] = time
 
-    def _insert(self, label: bytes, token: int) -> None:
-        node, before = 0, -1
-        for byte in label:
-            before = self.ends.get(node, before)
-            node = self.trie.setdefault(node << 8 | byte, len(self.trie) + 1)
-        self.ends[node] = token
-        self.shorter[token] = before
+    def _suffixes(self, ends: dict[int, int]) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+        """For each node the longest other one that ends its string, and the longest token that does; the next shorter one of a token."""
+        kids: dict[int, list[tuple[int, int]]] = {}
+        for key, there in self.trie.items():
+            kids.setdefault(key >> 8, []).append((key & 255, there))
+        fail, ending = np.zeros(len(self.trie) + 1, "i4"), np.full(len(self.trie) + 1, -1, "i4")
+        shorter: dict[int, int] = {}
+        queue = [0]
+        for node in queue:  # grows while it is read
+            for byte, there in kids.get(node, ()):
+                queue.append(there)
+                if node:
+                    back = int(fail[node])
+                    while back and back << 8 | byte not in self.trie:
+                        back = int(fail[back])
+                    fail[there] = self.trie.get(back << 8 | byte, 0)
+                below = int(ending[fail[there]])
+                token = ends.get(there, -1)
+                if token >= 0:
+                    shorter[token] = below
+                ending[there] = token if token >= 0 else below
+        return fail, ending, shorter
 
     def arc(self, state: int, token: int) -> bool:
         """Whether ``token`` can be read in ``state`` once all gadgets are applied."""
@@ -106,26 +127,17 @@ class Encoder:
         self.chunks = re.compile(CHUNKS)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.firsts: dict[bytes, int] = {}
         self.arcs: dict[int, bool] = {}  # by state and token in one number
+        self.fail, self.ending = automaton.fail.tolist(), automaton.ending.tolist()
+        self._renew()
         names = sorted(automaton.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.emit = [automaton.labels.get(i, b"") for i in range(max(automaton.labels) + 1)]
+        self.size = [len(x) for x in self.emit]
 
-    def _longest(self, rest: bytes) -> int:
-        """The longest token that ``rest`` begins with."""
-        trie, ends = self.a.trie, self.a.ends
-        node, found = 0, -1
-        for byte in rest:
-            node = trie.get(node << 8 | byte)
-            if node is None:
-                break
-            found = ends.get(node, found)
-        if len(rest) <= LONGEST_KNOWN:
-            if len(self.firsts) >= KNOWN_STARTS:
-                self.firsts.clear()
-            self.firsts[rest] = found
-        return found
+    def _renew(self) -> None:
+        self.table: dict[int, int] = {}  # the next state by a state and a byte in one number
+        self.node, self.last = [0], [-1]  # of each state; the first is that of an empty word
 
     def _learn(self, state: int, token: int) -> bool:
         if len(self.arcs) >= KNOWN_ARCS:
@@ -133,43 +145,60 @@ class Encoder:
         free = self.arcs[state << 32 | token] = self.a.arc(state, token)
         return free
 
-    def _path(self, data: bytes) -> list[int]:
-        """The one accepting path that spells ``data``: longest arcs first, back from places without a way on."""
-        shorter, emit, firsts, arcs = self.a.shorter, self.emit, self.firsts, self.arcs
-        path: list[int] = []
-        closed: set[int] = set()
-        place, before, rest = 0, -1, data
-        token = firsts.get(rest)
-        if token is None:
-            token = self._longest(rest)
+    def _reached(self, node: int, byte: int, ends: list[int]) -> tuple[int, int]:
+        """The node after ``byte``, and the last token of the path to there. ``ends``: the last tokens at all places before."""
+        trie, fail = self.a.trie, self.fail
+        there = trie.get(node << 8 | byte)
+        while there is None:
+            node = fail[node]
+            there = trie.get(node << 8 | byte)
+        token, place = self.ending[there], len(ends)
         while True:
-            stop = place + len(emit[token])
-            if stop not in closed:
-                free = before < 0 or arcs.get(before << 32 | token)
-                if free is None:
-                    free = self._learn(before, token)
-                if free:
-                    path.append(token)
-                    rest = data[stop : stop + LONGEST_LABEL]
-                    if not rest:
-                        return path
-                    place, before = stop, token
-                    token = firsts.get(rest)
-                    if token is None:
-                        token = self._longest(rest)
-                    continue
-            token = shorter[token]
-            while token < 0:
-                closed.add(place)
-                last = path.pop()
-                before = path[-1] if path else -1
-                place, token = place - len(emit[last]), shorter[last]
+            before = ends[place - self.size[token]]
+            if before < 0:
+                return there, token
+            free = self.arcs.get(before << 32 | token)
+            if free or free is None and self._learn(before, token):
+                return there, token
+            token = self.a.shorter[token]
+
+    def _path(self, data: bytes) -> list[int]:
+        """The one accepting path that spells ``data``."""
+        ends = [-1]
+        if len(data) <= LONGEST_KNOWN:
+            if len(self.last) > MAX_STATES:
+                self._renew()
+            table, last = self.table, self.last
+            state = 0
+            for byte in data:
+                there = table.get(state << 8 | byte)
+                if there is None:
+                    there = table[state << 8 | byte] = len(last)
+                    node, token = self._reached(self.node[state], byte, ends)
+                    self.node.append(node)
+                    last.append(token)
+                state = there
+                ends.append(last[state])
+        else:
+            node = 0
+            for byte in data:
+                node, token = self._reached(node, byte, ends)
+                ends.append(token)
+        path, place = [], len(data)
+        while place:
+            path.append(ends[place])
+            place -= self.size[ends[place]]
+        return path[::-1]
 
     def _chunk(self, chunk: str) -> bytes:
         """The ids of a run of characters at whose ends the split pattern always splits."""
         ids = self.older.get(chunk)
         if ids is None:
-            ids = np.array([i for w in self.split.findall(chunk) for i in self._path(w.encode())], "<u4").tobytes()
+            if chunk.isascii() and chunk.removeprefix(" ").isalpha():  # the pattern takes such a run as a whole
+                found = self._path(chunk.encode())
+            else:
+                found = [i for w in self.split.findall(chunk) for i in self._path(w.encode())]
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(chunk) <= LONGEST_KNOWN:
             if len(self.words) >= KNOWN_WORDS:
                 self.older, self.words = self.words, {}
@@ -177,11 +206,11 @@ class Encoder:
         return ids
 
     def _plain(self, text: str) -> bytes:
-        slow = self._chunk
-        parts = []
-        for chunk in self.chunks.findall(text):
-            known = self.words.get(chunk)
-            parts.append(slow(chunk) if known is None else known)
+        chunks = self.chunks.findall(text)
+        parts = list(map(self.words.get, chunks))
+        if None in parts:
+            slow, known = self._chunk, self.words.get
+            parts = [part or known(chunk) or slow(chunk) for part, chunk in zip(parts, chunks, strict=True)]
         return b"".join(parts)
 
     def encode(self, text: str) -> bytes:
@@ -196,7 +225,7 @@ class Encoder:
 
     def decode(self, ids: bytes) -> str:
         emit = self.emit
-        return b"".join([emit[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+        return b"".join(map(emit.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
 _ENCODERS: dict[str, Encoder] = {}  # a worker goes on with what it learnt in earlier tasks

@@ -1,9 +1,10 @@
 """Token counts under a unigram model, with the forward scores of shared prefixes computed once.
 
 The score of a segmentation is the sum of its pieces' scores; the forward score of a string is that of its best
-segmentation, and of equal ones that with the fewest tokens. Distinct words are inserted in a trie. A node holds the
-forward score of its prefix, which follows from the nodes above it, so words with a common prefix share the work. The
-token count of a word is read at its terminal node.
+segmentation, and of equal ones that with the fewest tokens. The distinct words of a batch that are not known yet are
+inserted in a trie, in order. A node holds the forward score of its prefix, which follows from the nodes above it, so words
+with a common prefix share the work. The token count of a word is read at its terminal node and remembered: frequent
+words stay known when the trie or the memory of words is renewed.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from pyspark.sql import DataFrame
 
 from caseloom.llm.base import add_columns, as_bytes
 
-MAX_NODES = 400_000  # nodes of a worker's trie; beyond, it starts anew, which changes no count
+MAX_NODES = 300_000  # nodes of a worker's trie; beyond, it starts anew, which changes no count
+KNOWN_WORDS = 300_000  # terminal counts a worker remembers, twice: the older half goes when the newer is full
+WORDS_AT_ONCE = 100_000  # words whose distinct ones are looked up together, and those of one text more
 MARK = "▁"  # stands before each word
 
 
@@ -38,23 +41,37 @@ def rank_scores(path: str) -> dict[str, float]:
 class ForwardTrie:
     """Trie of words with (forward score, tokens) at each node."""
 
-    def __init__(self, scores: dict[str, float], max_nodes: int = MAX_NODES):
+    def __init__(self, scores: dict[str, float], max_nodes: int = MAX_NODES, known_words: int = KNOWN_WORDS):
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - 10.0  # of a byte that no piece covers
-        self.max_nodes = max_nodes
+        self.max_nodes, self.known_words = max_nodes, known_words
+        self.terminal: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.best: list[tuple[float, int]] = [(0.0, 0)]
-        self.terminal: dict[str, int] = {}
 
-    def count(self, word: str) -> int:
-        known = self.terminal.get(word)
-        if known is None:
-            known = self._insert(word)
-        return known
+    def count_all(self, words: list[bytes]) -> None:
+        """Makes all ``words`` known in ``terminal``."""
+        missing = set(words).difference(self.terminal)
+        if not missing:
+            return
+        if len(self.terminal) + len(missing) > self.known_words:
+            present = set(words)
+            self.older = self.terminal
+            self.terminal = {w: c for w, c in self.older.items() if w in present}
+        fresh = []
+        for word in missing:
+            known = self.older.get(word)
+            if known is None:
+                fresh.append(word)
+            else:
+                self.terminal[word] = known
+        for word in sorted(fresh):
+            self.terminal[word] = self._insert(word.decode("utf-8", "replace"))
 
     def _insert(self, word: str) -> int:
         if len(self.next) > self.max_nodes:
@@ -70,8 +87,7 @@ class ForwardTrie:
                 self.best.append(self._forward(whole, n, path))
             node = there
             path.append(node)
-        self.terminal[word] = self.best[node][1]
-        return self.terminal[word]
+        return self.best[node][1]
 
     def _forward(self, whole: str, n: int, path: list[int]) -> tuple[float, int]:
         """Best score of the first ``n`` letters from those of shorter prefixes. A letter can always go as bytes."""
@@ -107,19 +123,23 @@ def count_tokens(df: DataFrame, scores: dict[str, float], text: str = "text", ke
 
         def compute(texts):
             n_words, n_tokens = [], []
-            for value in texts:
-                words = (value.as_py() or b"").split()
+            split = [(value.as_py() or b"").split() for value in texts]
+            held: list[list[bytes]] = []
+            size = 0
+
+            def counted():
+                trie.count_all([w for words in held for w in words])
+                known = trie.terminal.__getitem__
+                n_tokens.extend(sum(map(known, words)) for words in held)
+
+            for words in split:
                 n_words.append(len(words))
-                known = trie.terminal
-                total = 0
-                for w in words:
-                    word = w.decode("utf-8", "replace")
-                    count = known.get(word)
-                    if count is None:
-                        count = trie.count(word)
-                        known = trie.terminal
-                    total += count
-                n_tokens.append(total)
+                if size + len(words) > WORDS_AT_ONCE and held:
+                    counted()
+                    held, size = [], 0
+                held.append(words)
+                size += len(words)
+            counted()
             return [n_words, n_tokens]
 
         return compute

@@ -11,6 +11,7 @@ Only fragments whose context is repeated with different surroundings need the gr
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import xxhash
@@ -108,14 +109,30 @@ def graph_search(window: int):
     return search
 
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def without_words(data: bytes, bounds: np.ndarray) -> bytes:
+    """``data`` without the runs of words (first, one past last) and the white space after each run."""
+    if not len(bounds):
+        return data
+    places = [m.span() for m in WORD.finditer(data)]
+    parts, at = [], 0
+    for a, b in bounds.tolist():
+        parts.append(data[at : places[a][0]])
+        at = places[b][0] if b < len(places) else places[-1][1]
+    return b"".join([*parts, data[at:]])
+
+
 def remove_repeated_words(
     df: DataFrame, window: int = 35, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, with_text: bool = False
 ) -> DataFrame:
-    """``df`` with n_words, n_removed and kept_sha256; with ``with_text`` also kept_text, the remaining words.
+    """``df`` with n_words, n_removed and kept_sha256; with ``with_text`` also kept_text, the text without them.
 
     A word goes if it lies in ``window`` consecutive words of its document that also start anywhere else, in the same
     document included; windows are judged on the input. Words stand between U+0020 and U+0009-U+000D. Null and empty
-    texts have no words; shorter texts have no windows. Rows that repeat an id and text repeat each other's windows like
+    texts have no words; shorter texts have no windows. In kept_text a removed run goes with the white space after it, all
+    else stays as it was. Rows that repeat an id and text repeat each other's windows like
     any two rows. Columns of these names are replaced.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("n_words", "n_removed", "kept_sha256", "kept_text")]
@@ -126,7 +143,8 @@ def remove_repeated_words(
         def compute(texts, spans):
             n_words, n_removed, sha, left = [], [], [], []
             for value, flat in zip(texts, spans, strict=True):
-                words = value.as_py().split()
+                data = value.as_py()
+                words = data.split()
                 bounds = merged(flat.as_py())
                 parts, at = [], 0
                 for a, b in bounds.tolist():
@@ -137,7 +155,8 @@ def remove_repeated_words(
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(parts))
                 sha.append(hashlib.sha256(rest).hexdigest())
-                left.append(rest.decode("utf-8", "replace"))
+                if with_text:
+                    left.append(without_words(data, bounds).decode("utf-8", "replace"))
             return [n_words, n_removed, sha, *([left] if with_text else [])]
 
         return compute

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
 from caseloom.llm import (
@@ -11,7 +12,6 @@ from caseloom.llm.base import read
 from caseloom.llm.sql import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
-TOKENIZERS = "/opt/tokenizers"
 
 
 def query(name: str):
@@ -29,7 +29,7 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op2_token_counts")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
-    scores = token_counts.rank_scores(f"{TOKENIZERS}/piece_bpe_32k.model")
+    scores = token_counts.rank_scores(str(tokenizer_path("piece_bpe_32k.model")))
     return token_counts.count_tokens(read(spark, sf, "documents"), scores, keep=["doc_id"])
 
 
@@ -72,7 +72,7 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op10_bpe")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
-    return bpe.encode_decode(read(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", keep=["doc_id"])
+    return bpe.encode_decode(read(spark, sf, "documents"), str(tokenizer_path("byte_bpe_50k.json")), keep=["doc_id"])
 
 
 @query("op11_hyperminhash")

@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark passages, tokens.
+"""Corpus pipeline: quality rules, SimHash near-duplicates, repeated passages, benchmark passages, tokens.
 
 Each stage takes (spark, docs, sf_dir); what it returns is written and read again as the next one's docs. All but the
 last keep the columns of ``documents``. The operators' docstrings say what they do with nulls, empty texts and repeats.
@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, debruijn, decontaminate, jaccard, quality
+from public_tokenizers import path as tokenizer_path
+
+from caseloom.llm import bpe, debruijn, decontaminate, hyperminhash, quality
 from caseloom.llm.base import read, settle
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = str(tokenizer_path("byte_bpe_50k.json"))
 
 
 def with_text(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
@@ -27,13 +29,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts alike in four fifths of their five-word shingles the first document, by id and text hash."""
-    return jaccard.first_documents(docs)
+    """Of each component of texts alike in four fifths of their five-word shingles the first document, by id and text hash.
+
+    Fingerprints of these shingles within three bits name candidates. They miss most pairs of that similarity, so
+    sketches name the others, and all candidates are compared on their whole sets.
+    """
+    return hyperminhash.first_documents(docs, percent=80, shingle=5, tau=3)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without passages of 35 words or more that start elsewhere; the words left are joined by a space."""
-    return with_text(debruijn.remove_repeated_words(docs, with_text=True), "kept_text", docs.columns)
+    """All documents without passages of 35 words or more that start elsewhere; white space elsewhere and null texts stay."""
+    cut = debruijn.remove_repeated_words(docs, with_text=True)
+    return with_text(cut.withColumn("kept_text", F.when(F.col("text").isNotNull(), F.col("kept_text"))), "kept_text", docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,9 +35,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 # Fixed value: the White_Space characters. A run of others, with a space before it, is split on its own.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNKS = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-KNOWN_WORDS = 1 << 18  # encoded words a worker remembers, twice: the older half goes when the newer is full
-KNOWN_ARCS = 1 << 18
-MAX_STATES = 1 << 18  # of a worker's table; beyond, it starts anew, which changes nothing
+KNOWN_WORDS = 3 << 16  # encoded words a worker remembers, twice: the older half goes when the newer is full
+KNOWN_ARCS = 1 << 17
+MAX_STATES = 1 << 17  # of a worker's table; beyond, it starts anew, which changes nothing
 LONGEST_KNOWN = 64  # letters; longer words are read without writing states
 
 

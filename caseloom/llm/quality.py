@@ -59,14 +59,14 @@ def n_dup_lines(text: Column) -> Column:
 def n_repeat_words(text: Column, window: int = 5) -> Column:
     """Words inside windows that occur twice or more in the text.
 
-    Windows are sorted together with their places; neighbours that are equal are repeats. Their places, sorted, are
-    then walked once: each adds the words up to the next place, a window at most.
+    64-bit hashes of windows are sorted together with their places; neighbours that are equal are repeats. Their places,
+    sorted, are then walked once: each adds the words up to the next place, a window at most.
     """
 
     def covered(w: Column) -> Column:
         spots = F.transform(
             F.sequence(F.lit(1), F.size(w) - (window - 1)),
-            lambda i: F.struct(F.array_join(F.slice(w, i, window), " ").alias("s"), i.alias("i")),
+            lambda i: F.struct(F.xxhash64(F.slice(w, i, window)).alias("s"), i.alias("i")),
         )
         return let(F.sort_array(spots), lambda s: let(F.sort_array(F.transform(F.filter(s, _repeated(s)), lambda x: x["i"])), _span))
 

@@ -72,7 +72,8 @@ def add_columns(
     """``df`` with the columns of ``ddl``, computed in Arrow batches.
 
     ``make()`` is called once per task and gives a function from the Arrow arrays of ``inputs`` to one sequence per
-    new column. A column of ``df`` that has the name of a new one is replaced. ``keep`` limits what else is passed on.
+    new column; its attribute ``release``, if there is one, is called at the end of the task. A column of ``df`` that has the
+    name of a new one is replaced. ``keep`` limits what else is passed on.
     """
     new = fields_of(ddl)
     names = {f.name.lower() for f in new}
@@ -91,5 +92,7 @@ def add_columns(
                 made = compute(*batch.columns[n_kept:])
                 arrays = [pa.array(values, type=kind) for values, kind in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(batch.columns[:n_kept] + arrays, names=out.names)
+        if hasattr(compute, "release"):
+            compute.release()
 
     return source.mapInArrow(run, out)

@@ -23,6 +23,7 @@ import json
 import re
 import struct
 import uuid
+from array import array
 
 import numpy as np
 import regex
@@ -128,13 +129,18 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.arcs: dict[int, bool] = {}  # by state and token in one number
-        self.fail, self.ending = automaton.fail.tolist(), automaton.ending.tolist()
+        self.fail, self.ending = (array("i", x.tobytes()) for x in (automaton.fail, automaton.ending))
         self._renew()
         names = sorted(automaton.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.emit = [automaton.labels.get(i, b"") for i in range(max(automaton.labels) + 1)]
         self.size = [len(x) for x in self.emit]
 
+    def forget(self) -> None:
+        """Drops what was learnt, which takes memory that the next stage's tasks need; the automaton stays."""
+        self.words, self.older, self.arcs = {}, {}, {}
+        self._renew()
+
     def _renew(self) -> None:
         self.table: dict[int, int] = {}  # the next state by a state and a byte in one number
         self.node, self.last = [0], [-1]  # of each state; the first is that of an empty word
@@ -228,7 +234,7 @@ class Encoder:
         return b"".join(map(emit.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, Encoder] = {}  # a worker goes on with what it learnt in earlier tasks
+_ENCODERS: dict[str, Encoder] = {}  # a worker keeps the automaton for later tasks
 
 
 def _encoder(key: str, automaton) -> Encoder:
@@ -284,6 +290,7 @@ def encode_decode(
                     texts_out.append(back)
             return [counts, ids_sha, decoded_sha, *([ids_out, texts_out] if with_texts else [])]
 
+        compute.release = encoder.forget
         return compute
 
     ddl = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_texts

@@ -1,7 +1,7 @@
 """Unicode NFKC as a deterministic column expression.
 
 Tables of decompositions, combining classes and composites are read once per session from the Unicode library that Spark
-ships, one job over all code points. Texts of characters that stay as they are, which is nearly every text, pass after one
+ships, one job over the code points. Texts of characters that stay as they are, which is nearly every text, pass after one
 pattern. Others are cut into pieces before each character that begins anew; a piece of one character is looked up, a longer one
 is decomposed, put in canonical order and composed.
 """
@@ -14,8 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-TOP = 0x110000
-BLOCK = 64
+TOP = 0x30000  # no code point from here on is decomposed or combines; tests compare all of them
+LAST = 0x10FFFF
+BLOCK_BITS = 5
+BLOCK = 1 << BLOCK_BITS
 # The syllables that are composed by rule.
 SYLLABLE, LEAD, VOWEL, TAIL = 0xAC00, 0x1100, 0x1161, 0x11A7
 LEADS, VOWELS, TAILS = 19, 21, 28
@@ -26,7 +28,7 @@ ENTRY = "struct<s:string,d:array<int>,c:int,p:map<string,int>>"
 
 @dataclass(frozen=True)
 class Tables:
-    """``index``: the block of each 64 code points; ``blocks``: of each code point its NFKC s, its compatibility decomposition d,
+    """``index``: the block of each 32 code points; ``blocks``: of each code point its NFKC s, its compatibility decomposition d,
     its combining class c, and p, what it makes with a character before it; ``joins``: pattern of characters that do not
     begin anew; ``steady``: pattern class of long runs of characters that always stay."""
 
@@ -69,7 +71,7 @@ def _built(spark: SparkSession) -> Tables:
             index[i // BLOCK] = len(blocks)
             blocks.append([None] * BLOCK)
         r = rows.get(i)
-        entry = {"c": r["ccc"] if r else 0}
+        entry = {"c": r["ccc"]} if r and r["ccc"] else {}
         if r and r["nfkc"] != r["c"]:
             entry["s"] = r["nfkc"]
         if r and r["nfkd"] != r["c"]:
@@ -77,9 +79,11 @@ def _built(spark: SparkSession) -> Tables:
         if i in made:
             entry["p"] = made[i]
         blocks[index[i // BLOCK]][i % BLOCK] = entry
-    edges = [-1, *changing, TOP]
+    edges = [-1, *changing, LAST + 1]
     steady = [(a + 1, b - 1) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > (LONG_RUN if a > 0x250 else 8)]
-    return Tables(json.dumps(index), json.dumps(blocks), _class(_runs(sorted(joins))), _class(steady))
+    del index[max(i for i, b in enumerate(index) if b >= 0) + 1 :]
+    short = lambda x: json.dumps(x, separators=(",", ":"), ensure_ascii=False)
+    return Tables(short(index), short(blocks), _class(_runs(sorted(joins))), _class(steady))
 
 
 def _runs(points: list[int]) -> list[tuple[int, int]]:
@@ -111,7 +115,7 @@ def nfkc(text: Column) -> Column:
 
 
 def _entry(point: Column, known: Column) -> Column:
-    block = F.get(known["index"], F.shiftright(point, 6))
+    block = F.get(known["index"], F.shiftright(point, BLOCK_BITS))
     return F.get(F.get(known["blocks"], block), point.bitwiseAND(BLOCK - 1))
 
 

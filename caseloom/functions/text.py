@@ -48,6 +48,18 @@ def nfkc(text: ColumnOrName) -> Column:
     return _bind(_col(text), lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), normal_form.nfkc(t)).otherwise(t))
 
 
+def nfkc_apart(text: ColumnOrName) -> Column:
+    """The same by a call of the Unicode library, which Spark takes as non-deterministic and so evaluates in a projection of its own.
+
+    Spark does not send a function in Python an argument that holds nested lambdas; what it reads has to be computed apart.
+    """
+    def compose(t: Column) -> Column:
+        composed = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True))
+        return F.when(t.rlike(r"[^\x00-\x7F]"), composed).otherwise(t)
+
+    return _bind(_col(text), compose)
+
+
 def strip_codes(text: ColumnOrName) -> Column:
     """Replace transcription codes by a blank; rows without a ``*`` skip the pattern."""
     return _bind(
@@ -110,14 +122,14 @@ def remove_words(tokens: ColumnOrName, words: tuple[str, ...] = STOPWORDS_KEEPIN
     return F.filter(_col(tokens), lambda t: (t != "") & ~t.isin(*words))
 
 
-def classical_tokens(text: ColumnOrName, keep_digits: bool = False) -> Column:
-    """Tokens of the full cleaner, before lemmas.
+def classical_tokens(text: ColumnOrName, keep_digits: bool = False, apart: bool = False) -> Column:
+    """Tokens of the full cleaner, before lemmas; ``apart`` if a function in Python reads them without a table in between.
 
     Order: NFKC, codes, contractions, lower case, letters only, white space, stopwords.
     Replacing non-letters by a blank and then splitting at white space is the same as
     splitting at every run of non-letters, which needs one pass over the text.
     """
-    lowered = F.lower(strip_codes(nfkc(text)))
+    lowered = F.lower(strip_codes(nfkc_apart(text) if apart else nfkc(text)))
     expanded = expand_contractions(lowered, lower_case=True)
     parts = F.split(expanded, "[^a-z0-9]+" if keep_digits else "[^a-z]+")
     return F.coalesce(remove_words(parts), F.array().cast("array<string>"))

@@ -101,7 +101,8 @@ def add_scores(df: DataFrame, out: str, size: int, compute: Callable, shared: ob
         flat = np.concatenate(parts).ravel() if parts else np.zeros(0)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype="i4") * size), pa.array(flat, pa.float64()))
 
-    return df.withColumn(out, scored(*entries_of(features)))
+    # taken as non-deterministic, so that no filter made of scores is moved below them, where nothing evaluates them
+    return df.withColumn(out, scored.asNondeterministic()(*entries_of(features)))
 
 
 def _margins(shared: tuple, starts: np.ndarray, idx: np.ndarray, val: np.ndarray) -> np.ndarray:

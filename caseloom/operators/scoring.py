@@ -27,7 +27,7 @@ EXPLANATION = EXPLANATION_TYPE.simpleString()
 
 
 def clean_for_scoring(df: DataFrame, text: str, lemmas: DataFrame | None = None, out: str = config.CLEAN_TEXT) -> DataFrame:
-    tokens = df.withColumn("_tokens", classical_tokens(text))
+    tokens = df.withColumn("_tokens", classical_tokens(text, apart=lemmas is not None))
     if lemmas is not None:
         tokens = apply_lemmas(tokens, "_tokens", lemmas)
     return tokens.withColumn(out, F.array_join("_tokens", " ")).drop("_tokens")

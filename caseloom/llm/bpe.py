@@ -36,9 +36,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 # Fixed value: the White_Space characters. A run of others, with a space before it, is split on its own.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNKS = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-KNOWN_WORDS = 3 << 16  # encoded words a worker remembers, twice: the older half goes when the newer is full
-KNOWN_ARCS = 1 << 17
-MAX_STATES = 1 << 17  # of a worker's table; beyond, it starts anew, which changes nothing
+KNOWN_WORDS = 1 << 18  # encoded words a worker remembers, twice: the older half goes when the newer is full
+KNOWN_ARCS = 1 << 18
+MAX_STATES = 1 << 18  # of a worker's table; beyond, it starts anew, which changes nothing
 LONGEST_KNOWN = 64  # letters; longer words are read without writing states
 
 
@@ -122,8 +122,8 @@ class MergeAutomaton:
 class Encoder:
     """Encodes and decodes texts; keeps what it learnt about frequent words and arcs."""
 
-    def __init__(self, automaton: MergeAutomaton):
-        self.a = automaton
+    def __init__(self, automaton: MergeAutomaton, known_words: int = KNOWN_WORDS):
+        self.a, self.known_words = automaton, known_words
         self.split = regex.compile(SPLIT)
         self.chunks = re.compile(CHUNKS)
         self.words: dict[str, bytes] = {}
@@ -206,7 +206,7 @@ class Encoder:
                 found = [i for w in self.split.findall(chunk) for i in self._path(w.encode())]
             ids = struct.pack(f"<{len(found)}I", *found)
         if len(chunk) <= LONGEST_KNOWN:
-            if len(self.words) >= KNOWN_WORDS:
+            if len(self.words) >= self.known_words:
                 self.older, self.words = self.words, {}
             self.words[chunk] = ids
         return ids
@@ -234,13 +234,13 @@ class Encoder:
         return b"".join(map(emit.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, Encoder] = {}  # a worker keeps the automaton for later tasks
+_ENCODERS: dict[str, Encoder] = {}  # a worker goes on with what it has in later tasks
 
 
-def _encoder(key: str, automaton) -> Encoder:
+def _encoder(key: str, automaton, known_words: int) -> Encoder:
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(automaton.value)
+        _ENCODERS[key] = Encoder(automaton.value, known_words)
     return _ENCODERS[key]
 
 
@@ -263,18 +263,20 @@ def load_automaton(path: str) -> MergeAutomaton:
 
 
 def encode_decode(
-    df: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None, with_texts: bool = False
+    df: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None, with_texts: bool = False,
+    known_words: int = KNOWN_WORDS, release: bool = False,
 ) -> DataFrame:
     """``df`` with n_tokens, ids_sha256 and decoded_sha256; with ``with_texts`` also ids (array of int) and decoded.
 
     Null and empty texts have no tokens. Columns of these names are replaced. Rows are independent: no shuffle, repeated
-    rows give repeated results. A worker holds one text's ids and a bounded memory of words.
+    rows give repeated results. A worker holds one text's ids and a memory of twice ``known_words`` words; with ``release``
+    it drops what it learnt at the end of each task, for jobs whose other stages need the memory.
     """
     shared = df.sparkSession.sparkContext.broadcast(load_automaton(tokenizer))  # as large as the vocabulary file
     key = uuid.uuid4().hex
 
     def make():
-        encoder = _encoder(key, shared)
+        encoder = _encoder(key, shared, known_words)
 
         def compute(texts):
             counts, ids_sha, decoded_sha, ids_out, texts_out = [], [], [], [], []
@@ -290,7 +292,8 @@ def encode_decode(
                     texts_out.append(back)
             return [counts, ids_sha, decoded_sha, *([ids_out, texts_out] if with_texts else [])]
 
-        compute.release = encoder.forget
+        if release:
+            compute.release = encoder.forget
         return compute
 
     ddl = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_texts

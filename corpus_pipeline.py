@@ -14,6 +14,7 @@ from public_tokenizers import path as tokenizer_path
 from caseloom.llm import bpe, debruijn, decontaminate, hyperminhash, quality
 from caseloom.llm.base import read, settle
 
+KNOWN_WORDS = 1 << 17  # words a worker of the last stage remembers, twice; the next run's first stage needs the memory
 TOKENIZER = str(tokenizer_path("byte_bpe_50k.json"))
 
 
@@ -50,7 +51,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with digests of the ids and of what they decode to."""
-    return bpe.encode_decode(docs, TOKENIZER, keep=["doc_id", "lang", "source"], with_texts=True).drop("decoded")
+    return bpe.encode_decode(docs, TOKENIZER, keep=["doc_id", "lang", "source"], with_texts=True, known_words=KNOWN_WORDS, release=True).drop("decoded")
 
 
 STAGES = [

@@ -86,7 +86,7 @@ class Blocks:
 
     def add_up(self, of_block: Callable[[Block, object], np.ndarray], state: object, length: int) -> np.ndarray:
         """The sum of ``of_block(block, state)``, vectors of ``length`` numbers, over all blocks."""
-        names = self.names
+        names, size = self.names, PIECE
         shared = self.df.sparkSession.sparkContext.broadcast(state)
 
         def partial(batches):
@@ -94,7 +94,7 @@ class Blocks:
             for batch in batches:
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     total += of_block(Block(names, list(row)), shared.value)
-            yield _pieces(total)
+            yield _pieces(total, size)
 
         def added(batches):
             totals: dict[int, np.ndarray] = {}
@@ -107,16 +107,16 @@ class Blocks:
 
         sums = self.df.mapInArrow(partial, "piece int, total binary")
         if self.parts > DIRECT:
-            sums = sums.repartition(min(self.parts, -(-length // PIECE)), "piece").mapInArrow(added, "piece int, total binary")
+            sums = sums.repartition(min(self.parts, -(-length // size)), "piece").mapInArrow(added, "piece int, total binary")
         out = np.zeros(length)
         for row in sums.collect():
-            out[row["piece"] * PIECE : (row["piece"] + 1) * PIECE] += np.frombuffer(row["total"])
+            out[row["piece"] * size : (row["piece"] + 1) * size] += np.frombuffer(row["total"])
         shared.destroy()
         return out
 
 
-def _pieces(total: np.ndarray) -> pa.RecordBatch:
-    parts = [total[k : k + PIECE].tobytes() for k in range(0, len(total), PIECE)]
+def _pieces(total: np.ndarray, size: int) -> pa.RecordBatch:
+    parts = [total[k : k + size].tobytes() for k in range(0, len(total), size)]
     return pa.RecordBatch.from_pydict({"piece": pa.array(range(len(parts)), pa.int32()), "total": parts})
 
 

@@ -76,9 +76,9 @@ def csv_typed_scan(spark, sf):
 
 @query("csv_split_scan", TYPED_SQL)
 def csv_split_scan(spark, sf):
-    """One file with line breaks in its fields, read in byte blocks by several tasks."""
-    path, blocks = work_path(spark, "one-csv"), "spark.sql.files.maxPartitionBytes"
-    report_files.write_reports_csv(_typed(spark, sf).coalesce(1), path)
+    """Files with line breaks in their fields, one for each task that reads the table, read in byte blocks by several tasks a file."""
+    path, blocks = work_path(spark, "split-csv"), "spark.sql.files.maxPartitionBytes"
+    report_files.write_reports_csv(_typed(spark, sf), path)
     size = spark.read.format("binaryFile").load(f"{path}/*.csv").agg(F.max("length")).first()[0]
     before = spark.conf.get(blocks)
     spark.conf.set(blocks, str(max(size // 8, 1)))

@@ -368,7 +368,7 @@ def stream_swaps_models(spark, sf):
     fitted, kinds = featurizer(spark, sf), ("logistic_regression", "linear_svc")
     docs = table(spark, sf, "documents")
     for epoch, kind in enumerate(kinds):
-        docs.filter(F.col("doc_id") % 2 == epoch).coalesce(1).write.parquet(f"{path}/in/part={epoch}")
+        docs.filter(F.col("doc_id") % 2 == epoch).write.parquet(f"{path}/in/part={epoch}")
         tables.promote(spark, path, str(epoch + 1), fitted, "word_tfidf", trained(spark, sf, kind))
         arriving = predlog.file_stream(spark, f"{path}/in/*", docs.schema)
         texts = arriving.select(F.col("doc_id").alias("odiNumber"), F.col("text").alias("summary"))

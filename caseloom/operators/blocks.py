@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ENTRIES = 250_000  # of a block, and one row more
 TASK_ENTRIES = 500_000  # that a task should have at least
+WAVES = 4  # tasks for each core, at most
 COMMON = 0.05  # of a block's rows: a feature in so many is a column of a plain matrix
 CACHED = 8_192  # entries that are multiplied at a time
 PIECE = 65_536  # numbers of a sum that are added in one task
@@ -110,7 +111,8 @@ class Blocks:
         self.n_rows, entries = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("idx")), F.lit(0))).first()
         wanted = max(1, -(-entries // TASK_ENTRIES))
         have = rows.rdd.getNumPartitions()
-        self.parts = min(wanted, max(have, df.sparkSession.sparkContext.defaultParallelism))
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        self.parts = min(wanted, max(min(have, WAVES * cores), cores))  # each sends a sum as large as the model
         rows = rows.coalesce(self.parts) if self.parts <= have else rows.repartition(self.parts)
         self.names = [f.split()[0] for f in ENTRIES.split(", ")] + self.columns
         self.df = rows.mapInArrow(_packer(self.columns), ENTRIES + "".join(f", {c} binary" for c in self.columns)).persist()

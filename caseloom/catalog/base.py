@@ -60,16 +60,24 @@ def once(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]
     return _SETTLED[place]
 
 
+def planned(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table made of a settled one by little work per row: its lookups are written, its rows are not written again."""
+    place = (spark.sparkContext.applicationId, sf, name)
+    if place not in _SETTLED:
+        _SETTLED[place] = build()
+    return _SETTLED[place]
+
+
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return once(spark, sf, "cleaned", lambda: clean_reports(reports(spark, sf)))
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return once(spark, sf, "labelled", lambda: engineer_labels(cleaned(spark, sf), min_rows=MIN_ROWS)[0])
+    return planned(spark, sf, "labelled", lambda: engineer_labels(cleaned(spark, sf), min_rows=MIN_ROWS)[0])
 
 
 def split_reports(spark: SparkSession, sf: str) -> DataFrame:
-    return once(spark, sf, "split", lambda: stratified_split(labelled(spark, sf)))
+    return planned(spark, sf, "split", lambda: stratified_split(labelled(spark, sf)))
 
 
 # Marker words of the rule predictor and the probability table.

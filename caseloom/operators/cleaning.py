@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from caseloom import config
 from caseloom.functions.text import strip, text_identity
+from caseloom.operators.lookup import fits_broadcast
+from caseloom.session import settle
 
 
 def keep_usable(df: DataFrame, text: str = config.TEXT, tags: str = config.TAGS, min_chars: int = config.MIN_TEXT_CHARS) -> DataFrame:
@@ -25,6 +27,33 @@ def keep_first_text(df: DataFrame, text: str = config.TEXT, key: str = config.KE
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") == 1).drop("_rank")
 
 
+def keep_first_texts(df: DataFrame, text: str = config.TEXT, key: str = config.KEY) -> DataFrame:
+    """The rows of ``keep_first_text``, without a shuffle or sort of texts.
+
+    Identities and keys are counted; texts found more than once, with their smallest key, are broadcast if a count of
+    rows and bytes allows it, and a row stays if its text is not among them or its key is the smallest. Only rows that
+    share text and smallest key with another one are ranked. ``df`` is read twice.
+    """
+    per_key = df.filter(F.col(text).isNotNull()).groupBy(text_identity(text).alias("_id"), F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    first = F.min(F.struct(F.col("_key").isNotNull(), "_key", "_n"))  # a missing key comes first
+    repeated = per_key.groupBy("_id").agg(F.sum("_n").alias("_all"), first.alias("_first")).filter("_all > 1")
+    repeated = settle(repeated.select("_id.*", F.col("_first._key").alias("_key"), F.col("_first._n").alias("_n")), "repeated")
+    if not fits_broadcast(repeated):
+        return keep_first_text(df, text, key)
+    identity = text_identity(text)
+    found = df.select("*", identity["h"].alias("h"), identity["m"].alias("m")).join(F.broadcast(repeated), ["h", "m"], "left")
+    stays = F.col("_n").isNull() | F.col("_key").eqNullSafe(F.col(key))
+    if repeated.filter("_n > 1").isEmpty() and not _holds_null(df, text):
+        return found.filter(stays).select(*df.columns)
+    alone = found.filter(stays & (F.coalesce("_n", F.lit(1)) == 1) & F.col(text).isNotNull()).select(*df.columns)
+    ties = found.filter(stays & (F.col("_n") > 1) | F.col(text).isNull()).select(*df.columns)
+    return alone.unionByName(keep_first_text(ties, text, key))
+
+
+def _holds_null(df: DataFrame, text: str) -> bool:
+    return not df.filter(F.col(text).isNull()).isEmpty()
+
+
 def clean_reports(
     df: DataFrame,
     text: str = config.TEXT,
@@ -34,7 +63,7 @@ def clean_reports(
     drop: tuple[str, ...] = config.DROPPED_COLUMNS,
 ) -> DataFrame:
     """Filter, drop unused columns, keep the first row of each text."""
-    return keep_first_text(keep_usable(df, text, tags, min_chars).drop(*drop), text, key)
+    return keep_first_texts(keep_usable(df, text, tags, min_chars).drop(*drop), text, key)
 
 
 def cleaning_counts(

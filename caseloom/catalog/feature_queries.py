@@ -14,7 +14,7 @@ from caseloom.operators import features, heavy, weights
 
 
 def clean_split(spark, sf) -> DataFrame:
-    return once(spark, sf, "clean-split", lambda: split_reports(spark, sf).withColumn(CLEAN_TEXT, classical_clean("summary")))
+    return once(spark, sf, "clean-split", lambda: split_reports(spark, sf).withColumn(CLEAN_TEXT, classical_clean("summary")).drop("summary"))
 
 
 def train_rows(spark, sf) -> DataFrame:

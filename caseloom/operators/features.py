@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from caseloom.config import CHAR_SPEC, CLEAN_TEXT, WORD_SPEC, NgramSpec
 from caseloom.functions.words import STOPWORDS
+from caseloom.operators.ngrams import char_run_counts, word_run_counts
 
 
 def word_tokens_sql(text: str) -> str:
@@ -66,24 +67,9 @@ def gram_counts(df: DataFrame, grams: str) -> DataFrame:
 
 
 def char_gram_counts(df: DataFrame, text: str, low: int, high: int) -> DataFrame:
-    """``(term, tf, df)`` of character n-grams.
-
-    Occurrences come from distinct words times their counts; only the row counts need the
-    grams of every row, and those are taken from its distinct words.
-    """
-    padded = F.expr(padded_tokens_sql(text))
-    counts = df.select(F.explode(padded).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    tf = (
-        counts.select(F.array("word").alias("_p"), "n")
-        .select(F.explode(F.expr(char_grams_sql("_p", low, high))).alias("term"), "n")
-        .groupBy("term").agg(F.sum("n").alias("tf"))
-    )
-    # Exploding the expression itself, not a column made of it: for a column Spark infers a
-    # filter on its size and pushes it down, which would build all grams twice.
-    grams = F.array_distinct(F.expr(char_grams_sql("_p", low, high)))
-    per_row = df.select(F.array_distinct(padded).alias("_p")).select(F.explode(grams).alias("term"))
-    rows = per_row.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return tf.join(rows, "term")
+    """``(term, tf, df)`` of character n-grams, made of different words only."""
+    words = df.select(F.expr(f"filter(split(`{text}`, ' '), t -> t != '')").alias("_w"))
+    return char_run_counts(words, "_w", low, high)
 
 
 def top_terms(counts: DataFrame, spec: NgramSpec) -> DataFrame:
@@ -93,8 +79,7 @@ def top_terms(counts: DataFrame, spec: NgramSpec) -> DataFrame:
 
 def word_vocabulary(df: DataFrame, spec: NgramSpec = WORD_SPEC, text: str = CLEAN_TEXT) -> DataFrame:
     tokens = df.select(F.expr(word_tokens_sql(text)).alias("_w"))
-    grams = tokens.select(F.expr(word_grams_sql("_w", spec.low, spec.high)).alias("_grams"))
-    return top_terms(gram_counts(grams, "_grams"), spec)
+    return top_terms(word_run_counts(tokens, "_w", spec.low, spec.high), spec)
 
 
 def char_vocabulary(df: DataFrame, spec: NgramSpec = CHAR_SPEC, text: str = CLEAN_TEXT) -> DataFrame:
@@ -167,8 +152,8 @@ def fit_legacy_tfidf(
         listed = ", ".join("'" + w.replace("'", "\\'") + "'" for w in STOPWORDS)
         tokens = f"filter({tokens}, t -> t NOT IN ({listed}))"
     runs = word_grams_sql("_word_tokens", 1, 2)
-    grams = df.select(F.expr(tokens).alias("_word_tokens")).select(F.expr(runs).alias("_grams"))
-    stages, _ = _block(top_terms(gram_counts(grams, "_grams"), spec), df.count(), [tokens, runs], "word", out)
+    words = df.select(F.expr(tokens).alias("_word_tokens"))
+    stages, _ = _block(top_terms(word_run_counts(words, "_word_tokens", 1, 2), spec), df.count(), [tokens, runs], "word", out)
     return PipelineModel(stages=stages)
 
 

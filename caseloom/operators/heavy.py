@@ -25,6 +25,7 @@ from caseloom.operators.lookup import lookup
 from caseloom.session import settle
 
 CAPACITY = 1_000_000  # terms of a task's table
+SLICE = 500_000  # n-grams that are numbered at a time
 ROWS = "term string, tf long, df long, error long"
 
 
@@ -38,7 +39,16 @@ class Summary:
         self.held = 0
 
     def add(self, grams: pa.ListArray) -> None:
-        """The n-grams of some rows."""
+        """The n-grams of some rows, counted no more than ``SLICE`` and a row at a time."""
+        ends = np.cumsum(pc.list_value_length(grams).fill_null(0).to_numpy(zero_copy_only=False).astype("i8"))
+        at = 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            stop = min(int(np.searchsorted(ends, before + SLICE, "left")) + 1, len(ends))
+            self._count(grams.slice(at, stop - at))
+            at = stop
+
+    def _count(self, grams: pa.ListArray) -> None:
         lengths = pc.list_value_length(grams).fill_null(0).to_numpy(zero_copy_only=False)
         encoded = grams.flatten().dictionary_encode()
         codes, terms = encoded.indices.to_numpy(zero_copy_only=False).astype("i8"), encoded.dictionary
@@ -52,14 +62,15 @@ class Summary:
             self.prune()
 
     def prune(self) -> None:
-        merged = pa.concat_tables([self.table, *self.waiting]).group_by("term").aggregate([("tf", "sum"), ("df", "sum")])
+        merged = pa.concat_tables([self.table, *self.waiting]).group_by("term", use_threads=False).aggregate([("tf", "sum"), ("df", "sum")])
         table = merged.select(["term", "tf_sum", "df_sum"]).rename_columns(["term", "tf", "df"])
         if table.num_rows > self.capacity:
             tf = table.column("tf").to_numpy()
             cut = int(-np.partition(-tf, self.capacity)[self.capacity])  # the largest count without room
             self.error += cut
             table = table.set_column(1, "tf", pc.subtract(table.column("tf"), cut)).filter(pc.greater(table.column("tf"), cut))
-        self.table, self.waiting, self.held = table, [], 0
+        self.table, self.waiting, self.held = table.combine_chunks(), [], 0
+        pa.default_memory_pool().release_unused()
 
 
 def summaries(rows: DataFrame, grams: str, capacity: int = CAPACITY) -> DataFrame:

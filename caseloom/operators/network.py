@@ -1,8 +1,8 @@
 """The older dense network on sparse rows: rectified layers with dropout, small steps, averaged over tasks.
 
 Each task trains a copy of the network on its own rows in mini-batches (Adam); after a share of an epoch the copies are
-averaged by their rows, as one sum over the tasks. The first layer multiplies only present entries, and its gradient is
-computed for the features of a batch alone.
+averaged by their rows, as one sum over the tasks. The first layer multiplies a plain matrix of the features that a batch
+holds, and its gradient is computed for these alone.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from caseloom.config import LABEL, SEED
 from caseloom.operators.blocks import Block, Blocks
 
 BATCH = 64
+SPREAD = 256  # rows that are scored at a time
+MOVED = 32  # rows of weights that are moved at a time, so that they stay in a core's cache
 DECAY, DECAY_SQUARE, TINY = 0.9, 0.999, 1e-7  # usual values of Adam
 
 
@@ -42,10 +44,17 @@ class Network:
         """Outputs of the hidden layers, and the probabilities. ``keep``: what dropout multiplies each hidden layer by."""
         w, b = self.layers[0]
         z = np.zeros((n, w.shape[1]))
-        some = np.flatnonzero(np.diff(np.append(starts, len(idx))))
-        if len(some):
-            z[some] = np.add.reduceat(val[:, None] * w[idx], starts[some], axis=0)
-        out, z = [], z + b
+        ends = np.append(starts[1:], len(idx))
+        for first in range(0, n, SPREAD):
+            stop = min(first + SPREAD, n)
+            part = slice(int(starts[first]), int(ends[stop - 1]))
+            asked, x = spread(starts[first:stop] - starts[first], idx[part], val[part], stop - first)
+            z[first:stop] = x @ w[asked]
+        return self.upper(z + b, keep)
+
+    def upper(self, z: np.ndarray, keep: list[np.ndarray] | None) -> list[np.ndarray]:
+        """The same from what enters the first hidden layer."""
+        out = []
         for k, (w, b) in enumerate(self.layers[1:]):
             h = np.maximum(z, 0.0)
             out.append(h if keep is None else h * keep[k])
@@ -54,10 +63,20 @@ class Network:
         return [*out, e / e.sum(axis=1, keepdims=True)]
 
 
+def spread(starts: np.ndarray, idx: np.ndarray, val: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different features of some rows, and a plain matrix [row, feature] of them."""
+    asked, place = np.unique(idx, return_inverse=True)
+    x = np.zeros(n * len(asked))
+    np.add.at(x, np.repeat(np.arange(n) * len(asked), np.diff(np.append(starts, len(idx)))) + place, val)
+    return asked, x.reshape(n, len(asked))
+
+
 def gradients(net: Network, starts: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, keep: list[np.ndarray] | None):
     """(features asked, gradient of their weights, gradient of the first offsets, gradients of the other layers), of the mean loss."""
     n = len(y)
-    out = net.forward(starts, idx, val, n, keep)
+    asked, x = spread(starts, idx, val, n)
+    w, b = net.layers[0]
+    out = net.upper(x @ w[asked] + b, keep)
     delta = out[-1].copy()
     delta[np.arange(n), y] -= 1.0
     delta /= n
@@ -68,13 +87,7 @@ def gradients(net: Network, starts: np.ndarray, idx: np.ndarray, val: np.ndarray
         delta = (delta @ w.T) * (out[k - 1] > 0)
         if keep is not None:
             delta = delta * keep[k - 1]
-    rows = np.repeat(np.arange(n), np.diff(np.append(starts, len(idx))))
-    order = np.argsort(idx, kind="stable")
-    by = idx[order]
-    first = np.flatnonzero(np.append(True, by[1:] != by[:-1])) if len(by) else np.zeros(0, "i8")
-    asked = by[first]
-    first_layer = np.add.reduceat(val[order][:, None] * delta[rows[order]], first, axis=0) if len(by) else np.zeros((0, delta.shape[1]))
-    return asked, first_layer, delta.sum(axis=0), rest[::-1]
+    return asked, x.T @ delta, delta.sum(axis=0), rest[::-1]
 
 
 class Adam:
@@ -84,11 +97,20 @@ class Adam:
         self.net, self.rate, self.t = net, rate, 0
         self.m, self.v = [Network(net.shape, np.zeros_like(net.flat)) for _ in range(2)]
 
-    def _move(self, value, m, v, g, where=slice(None)):
-        m[where] = DECAY * m[where] + (1 - DECAY) * g
-        v[where] = DECAY_SQUARE * v[where] + (1 - DECAY_SQUARE) * g * g
+    def _move(self, value, m, v, g, where=None):
         scale = self.rate * np.sqrt(1 - DECAY_SQUARE**self.t) / (1 - DECAY**self.t)
-        value[where] -= scale * m[where] / (np.sqrt(v[where]) + TINY)
+        for a in range(0, len(g), MOVED):
+            part = slice(a, a + MOVED) if where is None else where[a : a + MOVED]
+            step = g[a : a + MOVED]
+            new_m, new_v = m[part] * DECAY, v[part] * DECAY_SQUARE
+            new_m += (1 - DECAY) * step
+            new_v += (1 - DECAY_SQUARE) * step * step
+            m[part], v[part] = new_m, new_v
+            np.sqrt(new_v, out=new_v)
+            new_v += TINY
+            new_m *= scale
+            new_m /= new_v
+            value[part] -= new_m
 
     def step(self, asked, first_layer, first_offset, rest) -> None:
         self.t += 1
